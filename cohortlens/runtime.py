@@ -53,3 +53,20 @@ def dim(df: DataFrame, col: str = "features") -> int:
     """Length of the feature vectors, read from one row."""
     row = df.select(F.size(col).alias("d")).first()
     return 0 if row is None else int(row.d)
+
+
+def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """Row number per group without putting a whole group into one task.
+
+    Rows are range-partitioned by (group, order); a group's rank is its rank inside the
+    partition plus the group's rows in the partitions before.
+    """
+    from pyspark.sql import Window
+
+    placed = cut(df.repartitionByRange(*group, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = placed.groupBy("__p", *group).agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*group).orderBy("__p")) - F.col("__c")
+    offsets = sizes.select("__p", *group, before.alias("__before"))
+    local = F.row_number().over(Window.partitionBy("__p", *group).orderBy(*order))
+    ranked = placed.withColumn("__r", local).join(offsets, ["__p", *group])
+    return ranked.withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
