@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.blocks import matrix
 from cohortlens.clustering.partition import _require, kmeans_fit
-from cohortlens.runtime import dim
+from cohortlens.runtime import dim, in_parallel
 
 FORMS = ("full", "tied", "diag", "spherical")
 REG = 1e-6
@@ -105,9 +106,10 @@ def mixture_fit(df: DataFrame, k: int = 3, form: str = "full", seed: int = 42, m
     if form not in FORMS:
         raise ValueError(f"unknown covariance form {form}")
     _require(df, k)
+    # tol is the change of the mean log-likelihood per row; the estimator wants the total
     if form == "full" and k > 1:
         vectors = df.select(array_to_vector("features").alias("features")).persist()
-        fitted = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol).fit(vectors)
+        fitted = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol * vectors.count()).fit(vectors)
         parts = fitted.gaussiansDF.collect()
         vectors.unpersist()
         means = np.array([p.mean.toArray() for p in parts])
@@ -122,7 +124,7 @@ def sufficient_statistics(df: DataFrame, model: MixtureModel) -> tuple[np.ndarra
     Every task reduces its rows to components x coordinates numbers before the shuffle.
     """
 
-    def partial(batches):
+    def e_step(batches):
         n, s1, s2, ll = np.zeros(model.k), 0.0, 0.0, 0.0
         for batch in batches:
             x = matrix(batch.column("features"), model.means.shape[1])
@@ -135,7 +137,7 @@ def sufficient_statistics(df: DataFrame, model: MixtureModel) -> tuple[np.ndarra
                     "s1": s1[c], "s2": s2[c], "ll": np.full(s1.shape[1], ll),
                 })
 
-    parts = df.select("features").mapInArrow(partial, "c int, p int, n double, s1 double, s2 double, ll double")
+    parts = df.select("features").mapInArrow(e_step, "c int, p int, n double, s1 double, s2 double, ll double")
     rows = parts.groupBy("c", "p").agg(*[F.sum(x).alias(x) for x in ("n", "s1", "s2", "ll")]).collect()
     d = model.means.shape[1]
     n, s1, s2 = np.zeros(model.k), np.zeros((model.k, d)), np.zeros((model.k, d))
@@ -180,7 +182,14 @@ def _em(df: DataFrame, k: int, form: str, seed: int, max_iter: int, tol: float)
 def mixture_auto(df: DataFrame, max_k: int = 10, form: str = "full", seed: int = 42) -> tuple[MixtureModel, dict[int, float]]:
     """Smallest BIC over k = 2..max_k, with all BICs."""
     data = df.select("features").persist()
-    models = {k: mixture_fit(data, k, form, seed) for k in range(2, max_k + 1)}
-    bics = {k: m.bic(data) for k, m in models.items()}
+    data.count()
+
+    def attempt(k: int):
+        model = mixture_fit(data, k, form, seed)
+        return model, model.bic(data)
+
+    ks = range(2, max_k + 1)
+    runs = in_parallel(df.sparkSession, [partial(attempt, k) for k in ks])
+    models, bics = ({k: run[i] for k, run in zip(ks, runs)} for i in (0, 1))
     data.unpersist()
     return models[min(bics, key=lambda k: (bics[k], k))], bics

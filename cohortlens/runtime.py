@@ -70,3 +70,18 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: st
     local = F.row_number().over(Window.partitionBy("__p", *group).orderBy(*order))
     ranked = placed.withColumn("__r", local).join(offsets, ["__p", *group])
     return ranked.withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
+
+
+def in_parallel(spark: SparkSession, jobs: list, width: int = 5) -> list:
+    """Run independent driver loops side by side, so that their jobs share the cluster."""
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    if len(jobs) == 1:
+        return [jobs[0]()]
+    pool = ThreadPool(min(width, len(jobs)))
+    try:
+        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
+    finally:
+        pool.terminate()
