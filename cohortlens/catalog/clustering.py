@@ -113,7 +113,7 @@ def gmm_tied_fit(spark, sf):
 
 @query("gmm_auto_bic")
 def gmm_auto_bic(spark, sf):
-    model, bics = mixture.mixture_auto(cust_scaled(spark, sf), 6, "diag")
+    model, bics = mixture.mixture_auto(cust_scaled(spark, sf))
     return rounded(spark.createDataFrame([(k, b, k == model.k) for k, b in bics.items()], "k int, bic double, chosen boolean"), "bic")
 
 
@@ -231,13 +231,13 @@ def elbow_table(spark, sf):
 
 @query("optimal_k_run")
 def optimal_k_run(spark, sf):
-    out = compare.determine_optimal_k(cust_scaled(spark, sf), range(2, 6), "kmeans", "multi", n_init=2)
+    out = compare.determine_optimal_k(cust_scaled(spark, sf), range(2, 8), "kmeans", "multi")
     return rounded(out, "silhouette", "davies_bouldin", "calinski_harabasz", "score")
 
 
 @query("compare_run")
 def compare_run(spark, sf):
-    options = {"gmm_auto": {"max_k": 3, "form": "diag"}, "kmeans": {"n_init": 2}, "gmm": {"form": "diag"}, "hdbscan": {"min_cluster_size": 5, "n_levels": 6}}
+    options = {"gmm_auto": {"max_k": 6, "form": "diag"}, "gmm": {"form": "diag"}, "hdbscan": {"min_cluster_size": 5, "n_levels": 6}}
     scores, _, _ = compare.compare_run(user_unit(spark, sf), 3, options=options)
     best = compare.best_method(scores).select("method").scalar()
     return rounded(scores.withColumn("best", F.col("method") == best), "silhouette", "davies_bouldin", "calinski_harabasz")

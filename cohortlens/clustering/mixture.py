@@ -4,18 +4,15 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.blocks import matrix
-from cohortlens.clustering.partition import _require, kmeans_fit
-from cohortlens.runtime import dim, in_parallel
+from cohortlens.clustering.partition import hashed_sample, kmeans_many
+from cohortlens.runtime import shape
 
 FORMS = ("full", "tied", "diag", "spherical")
 REG = 1e-6
@@ -90,8 +87,7 @@ class MixtureModel:
         return k - 1 + k * d + shape
 
     def bic(self, df: DataFrame) -> float:
-        ll, n = self.log_likelihood(df)
-        return -2.0 * ll + self.n_parameters() * math.log(n)
+        return bic_of(self, *self.log_likelihood(df))
 
     def components_df(self, spark: SparkSession) -> DataFrame:
         """``cluster, weight, mean, covariance`` with the covariance flattened."""
@@ -102,94 +98,115 @@ class MixtureModel:
         return spark.createDataFrame(rows, "cluster int, weight double, mean array<double>, covariance array<double>")
 
 
-def mixture_fit(df: DataFrame, k: int = 3, form: str = "full", seed: int = 42, max_iter: int = 100, tol: float = 1e-3) -> MixtureModel:
+def bic_of(model: MixtureModel, ll: float, n: int) -> float:
+    return -2.0 * ll + model.n_parameters() * math.log(n)
+
+
+def _start(centers: np.ndarray, spread: np.ndarray, form: str) -> MixtureModel:
+    k = len(centers)
+    first = {
+        "full": np.tile(np.diag(spread), (k, 1, 1)), "tied": np.diag(spread), "diag": np.tile(spread, (k, 1)), "spherical": np.full(k, spread.mean()),
+    }[form]
+    return MixtureModel(np.full(k, 1.0 / k), centers, first, form)
+
+
+def _stats(x: np.ndarray, model: MixtureModel) -> np.ndarray:
+    """E-step of some rows: per component the weight, the log-likelihood, the vector sum
+    and the second moment (outer products for full and tied, squares otherwise)."""
+    r, norm = model.responsibilities(x)
+    if model.form in ("full", "tied"):
+        s2 = np.stack([((x * r[:, c, None]).T @ x).ravel() for c in range(model.k)])
+    else:
+        s2 = r.T @ (x * x)
+    return np.column_stack([r.sum(0), np.full(model.k, norm.sum()), r.T @ x, s2])
+
+
+def e_pass(df: DataFrame, models: list[MixtureModel]) -> list[np.ndarray]:
+    """:func:`_stats` of all rows for all models in one pass; tasks reduce before the shuffle."""
+    d = models[0].means.shape[1]
+    columns = 2 + d + (d * d if models[0].form in ("full", "tied") else d)
+
+    def reduce_rows(batches):
+        acc, seen = [0.0] * len(models), False
+        for batch in batches:
+            x = matrix(batch.column("features"), d)
+            seen = seen or len(x) > 0
+            acc = [a + _stats(x, m) for a, m in zip(acc, models)]
+        if seen:
+            for i, full in enumerate(acc):
+                c, p = np.indices(full.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"m": np.full(full.size, i, np.int32), "c": c.astype(np.int32), "p": p.astype(np.int32), "v": full.ravel()})
+
+    parts = df.select("features").mapInArrow(reduce_rows, "m int, c int, p int, v double")
+    full = [np.zeros((m.k, columns)) for m in models]
+    for row in parts.groupBy("m", "c", "p").agg(F.sum("v").alias("v")).collect():
+        full[row.m][row.c, row.p] = row.v
+    return full
+
+
+def _m_step(full: np.ndarray, d: int, form: str) -> MixtureModel:
+    n, s1, s2 = full[:, 0] + 10 * np.finfo(float).eps, full[:, 2 : 2 + d], full[:, 2 + d :]
+    if form in ("full", "tied"):
+        s2 = s2.reshape(-1, d, d)
+    means = s1 / n[:, None]
+    if form == "full":
+        covs = s2 / n[:, None, None] - means[:, :, None] * means[:, None, :] + REG * np.eye(d)
+    elif form == "tied":
+        covs = (s2.sum(0) - (means.T * n) @ means) / n.sum() + REG * np.eye(d)
+    else:
+        covs = np.maximum(s2 / n[:, None] - means**2, 0.0) + REG
+        covs = covs if form == "diag" else covs.mean(1)
+    return MixtureModel(n / n.sum(), means, covs, form)
+
+
+def mixtures_many(
+    df: DataFrame, ks, form: str = "full", seed: int = 42, max_iter: int = 100, tol: float = 1e-3
+) -> dict[int, tuple[MixtureModel, float, int]]:
+    """``k -> (model, log-likelihood, rows)`` for several k, all sharing each pass.
+
+    Starts at K-Means centers; a model is done when the mean log-likelihood per row changes
+    by less than ``tol``.
+    """
     if form not in FORMS:
         raise ValueError(f"unknown covariance form {form}")
-    _require(df, k)
-    # tol is the change of the mean log-likelihood per row; the estimator wants the total
-    if form == "full" and k > 1:
-        vectors = df.select(array_to_vector("features").alias("features")).persist()
-        fitted = GaussianMixture(k=k, seed=seed, maxIter=max_iter, tol=tol * vectors.count()).fit(vectors)
-        parts = fitted.gaussiansDF.collect()
-        vectors.unpersist()
-        means = np.array([p.mean.toArray() for p in parts])
-        covs = np.array([p.cov.toArray() for p in parts]) + REG * np.eye(means.shape[1])
-        return MixtureModel(np.array(fitted.weights), means, covs, "full")
-    return _em(df.select("features").persist(), k, form, seed, max_iter, tol)
-
-
-def sufficient_statistics(df: DataFrame, model: MixtureModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One E-step pass: per component the weight, the vector sum and the square sum.
-
-    Every task reduces its rows to components x coordinates numbers before the shuffle.
-    """
+    ks = [int(k) for k in ks]
+    data = df.select("id", "features").persist()
+    rows, d = shape(data)
+    begin = kmeans_many(data, ks, seed, n_init=1)
+    sample = hashed_sample(data, max(2000, 20 * max(ks)), seed)
+    models = {k: _settle(_start(begin[k].centers, sample.var(0) + REG, form), sample, max_iter, tol) for k in ks}
+    loglik, live = {k: -math.inf for k in ks}, list(ks)
+    for _ in range(max_iter):
+        for k, full in zip(list(live), e_pass(data, [models[k] for k in live])):
+            models[k] = _m_step(full, d, form)
+            if abs(full[0, 1] - loglik[k]) < tol * rows:
+                live.remove(k)
+            loglik[k] = full[0, 1]
+        if not live:
+            break
+    final = e_pass(data, [models[k] for k in ks])
+    data.unpersist()
+    return {k: (models[k], float(f[0, 1]), rows) for k, f in zip(ks, final)}
 
-    def e_step(batches):
-        n, s1, s2, ll = np.zeros(model.k), 0.0, 0.0, 0.0
-        for batch in batches:
-            x = matrix(batch.column("features"), model.means.shape[1])
-            r, norm = model.responsibilities(x)
-            n, s1, s2, ll = n + r.sum(0), s1 + r.T @ x, s2 + r.T @ (x * x), ll + norm.sum()
-        if n.sum() > 0:
-            for c in range(model.k):
-                yield pa.RecordBatch.from_pydict({
-                    "c": np.full(s1.shape[1], c, np.int32), "p": np.arange(s1.shape[1], dtype=np.int32), "n": np.full(s1.shape[1], n[c]),
-                    "s1": s1[c], "s2": s2[c], "ll": np.full(s1.shape[1], ll),
-                })
-
-    parts = df.select("features").mapInArrow(e_step, "c int, p int, n double, s1 double, s2 double, ll double")
-    rows = parts.groupBy("c", "p").agg(*[F.sum(x).alias(x) for x in ("n", "s1", "s2", "ll")]).collect()
-    d = model.means.shape[1]
-    n, s1, s2 = np.zeros(model.k), np.zeros((model.k, d)), np.zeros((model.k, d))
-    for r in rows:
-        n[r.c], s1[r.c, r.p], s2[r.c, r.p] = r.n, r.s1, r.s2
-    return n, s1, s2, rows[0].ll
-
-
-def _em(df: DataFrame, k: int, form: str, seed: int, max_iter: int, tol: float) -> MixtureModel:
-    d = dim(df)
-    start = kmeans_fit(df, k, seed, n_init=1)
-    moments = df.select(F.posexplode("features").alias("p", "v")).groupBy("p").agg(F.var_pop("v").alias("v"), F.count("*").alias("n")).collect()
-    spread = np.array([r.v for r in sorted(moments, key=lambda r: r.p)]) + REG
-    total = moments[0].n
-    scatter = None
-    if form in ("tied", "full"):  # sum of x x': fixed over the rounds
-        pairs = [F.sum(F.col("features")[i] * F.col("features")[j]) for i in range(d) for j in range(i, d)]
-        upper = np.zeros((d, d))
-        upper[np.triu_indices(d)] = list(df.agg(*[p.alias(f"s{i}") for i, p in enumerate(pairs)]).first())
-        scatter = upper + np.triu(upper, 1).T
-
-    def covariances(n, means, s2):
-        if form in ("tied", "full"):
-            one = (scatter - (means.T * n) @ means) / total + REG * np.eye(d)
-            return one if form == "tied" else one[None]
-        var = np.maximum(s2 / n[:, None] - means**2, 0.0) + REG
-        return var if form == "diag" else var.mean(1)
-
-    first = {"tied": np.diag(spread), "full": np.diag(spread)[None], "diag": np.tile(spread, (k, 1)), "spherical": np.full(k, spread.mean())}[form]
-    model, before = MixtureModel(np.full(k, 1.0 / k), start.centers, first, form), -math.inf
+
+def _settle(model: MixtureModel, sample: np.ndarray, max_iter: int, tol: float) -> MixtureModel:
+    """Rounds on the bounded sample, so that few passes over all rows are left."""
+    before = -math.inf
     for _ in range(max_iter):
-        n, s1, s2, ll = sufficient_statistics(df, model)
-        n = n + 10 * np.finfo(float).eps
-        means = s1 / n[:, None]
-        model = MixtureModel(n / n.sum(), means, covariances(n, means, s2), form)
-        if abs(ll / total - before) < tol:
+        full = _stats(sample, model)
+        model = _m_step(full, sample.shape[1], model.form)
+        if abs(full[0, 1] - before) < tol * len(sample):
             break
-        before = ll / total
+        before = full[0, 1]
     return model
 
 
-def mixture_auto(df: DataFrame, max_k: int = 10, form: str = "full", seed: int = 42) -> tuple[MixtureModel, dict[int, float]]:
-    """Smallest BIC over k = 2..max_k, with all BICs."""
-    data = df.select("features").persist()
-    data.count()
+def mixture_fit(df: DataFrame, k: int = 3, form: str = "full", seed: int = 42, max_iter: int = 100, tol: float = 1e-3) -> MixtureModel:
+    return mixtures_many(df, [k], form, seed, max_iter, tol)[k][0]
 
-    def attempt(k: int):
-        model = mixture_fit(data, k, form, seed)
-        return model, model.bic(data)
 
-    ks = range(2, max_k + 1)
-    runs = in_parallel(df.sparkSession, [partial(attempt, k) for k in ks])
-    models, bics = ({k: run[i] for k, run in zip(ks, runs)} for i in (0, 1))
-    data.unpersist()
-    return models[min(bics, key=lambda k: (bics[k], k))], bics
+def mixture_auto(df: DataFrame, max_k: int = 10, form: str = "full", seed: int = 42) -> tuple[MixtureModel, dict[int, float]]:
+    """Smallest BIC over k = 2..max_k, with all BICs."""
+    fits = mixtures_many(df, range(2, max_k + 1), form, seed)
+    bics = {k: bic_of(m, ll, n) for k, (m, ll, n) in fits.items()}
+    return fits[min(bics, key=lambda k: (bics[k], k))][0], bics

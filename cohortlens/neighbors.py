@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES, block_pairs, chunks, fits_broadcast, matrix
-from cohortlens.runtime import cut, dim
+from cohortlens.runtime import cut, shape
 
 
 def gap_squared_distances(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +117,9 @@ def nearest(
     grp = F.col(group).cast("int") if group else F.lit(0)
     queries = queries.select(*side, grp.alias("g"))
     donors = donors.select(*side, grp.alias("g"))
-    n_donors = donors.count()
+    n_donors, width = shape(donors)
     if n_donors == 0:
         return queries.sparkSession.createDataFrame([], OUT_SCHEMA + ", rank int")
-    width = dim(donors)
     if fits_broadcast(n_donors, width, broadcast_bytes):
         hits = _by_broadcast(queries, donors, k, width, per_gap, exclude_self)
         w = Window.partitionBy("qid", "slot").orderBy("dist", "id")

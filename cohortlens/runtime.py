@@ -49,6 +49,12 @@ def r4(col: Column | str) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, 4)
 
 
+def shape(df: DataFrame, col: str = "features") -> tuple[int, int]:
+    """Rows and vector length in one aggregate."""
+    row = df.agg(F.count("*").alias("n"), F.max(F.size(col)).alias("d")).first()
+    return int(row.n), int(row.d or 0)
+
+
 def dim(df: DataFrame, col: str = "features") -> int:
     """Length of the feature vectors, read from one row."""
     row = df.select(F.size(col).alias("d")).first()
@@ -71,17 +77,3 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: st
     ranked = placed.withColumn("__r", local).join(offsets, ["__p", *group])
     return ranked.withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
 
-
-def in_parallel(spark: SparkSession, jobs: list, width: int = 5) -> list:
-    """Run independent driver loops side by side, so that their jobs share the cluster."""
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-
-    if len(jobs) == 1:
-        return [jobs[0]()]
-    pool = ThreadPool(min(width, len(jobs)))
-    try:
-        return pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs)
-    finally:
-        pool.terminate()

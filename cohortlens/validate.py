@@ -16,7 +16,7 @@ from cohortlens.blocks import (
     BLOCK_ROWS, BROADCAST_BYTES, block_pairs, chunks, fits_broadcast, matrix, squared_distances,
 )
 from cohortlens.clustering.model import group_means
-from cohortlens.runtime import dim
+from cohortlens.runtime import shape
 
 
 def one_method(df: DataFrame, method: str = "labels") -> DataFrame:
@@ -58,8 +58,7 @@ def _one_hot(marks, index) -> np.ndarray:
 def _distance_sums(points: DataFrame, slots: list, broadcast_bytes: int, block_rows: int) -> DataFrame:
     """Adds ``sums``: summed Euclidean distance of the row to the members of every slot."""
     index = {(m, c): i for i, (m, c, _) in enumerate(slots)}
-    n_slots, width = len(slots), dim(points)
-    n_rows = points.count()
+    n_slots, (n_rows, width) = len(slots), shape(points)
     if fits_broadcast(n_rows, width + n_slots, broadcast_bytes):
         table = points.select("features", "marks").toArrow()
         shared = points.sparkSession.sparkContext.broadcast((matrix(table["features"], width), _one_hot(table["marks"], index)))
