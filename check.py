@@ -36,6 +36,9 @@ def rows_of(columns, rows):
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name, fn, sql, sf):
     start = time.time()
     df = fn(spark, sf)
@@ -48,6 +51,10 @@ def compare(spark, con, name, fn, sql, sf):
     if sorted(df.columns) != sorted(rel.columns):
         return "FAIL", f"columns {sorted(df.columns)} vs {sorted(rel.columns)}", took
     a, b = rows_of(df.columns, got), rows_of(rel.columns, want)
+    kinds = dict(zip(rel.columns, map(str, rel.types)))
+    odd = {c: (t, kinds[c]) for c, t in df.dtypes if TYPES.get(t) != kinds[c]}
+    if a == b and odd:
+        return "TYPE", str(odd), took
     if a == b:
         return "ok" if got else "EMPTY", f"{len(a)} rows", took
     diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
@@ -73,7 +80,7 @@ def main():
             state, note, took = compare(spark, con, name, fn, oracles.get(name), args.sf)
         except Exception as exc:  # report and go on with the next query
             state, note, took = "ERROR", f"{type(exc).__name__}: {str(exc)[:1500]}", 0.0
-        bad += state in ("FAIL", "ERROR", "EMPTY")
+        bad += state in ("FAIL", "ERROR", "EMPTY", "TYPE")
         print(f"{state:6} {took:6.2f}s {name}: {note}", flush=True)
     print(f"{bad} bad", flush=True)
     sys.exit(1 if bad else 0)

@@ -1 +1,32 @@
-"""."""
+"""Projections."""
+
+from __future__ import annotations
+
+from cohortlens import project
+from cohortlens.catalog.base import CUST_LONG_SQL, CUST_NUM, emb, query, rounded, with_
+from cohortlens.catalog.explaining import cust_vectors
+from cohortlens.catalog.local import EMB_NAMES
+
+
+@query("pca_project")
+def pca_project(spark, sf):
+    data = emb(spark, sf).select("id", "features")
+    return rounded(project.pca_fit(data, 2).transform(data), "pc1", "pc2")
+
+
+@query("pca_variance")
+def pca_variance(spark, sf):
+    out = project.pca_fit(emb(spark, sf), 2).loadings_df(spark, EMB_NAMES)
+    return rounded(out, "explained_variance_ratio", "loading")
+
+
+@query("cov_matrix", with_(CUST_LONG_SQL) + """SELECT a.feature AS feature_a, b.feature AS feature_b, ROUND(covar_samp(a.value, b.value), 4) AS cov
+  FROM cust_long a JOIN cust_long b ON a.id = b.id AND a.pos <= b.pos GROUP BY a.feature, b.feature""")
+def cov_matrix(spark, sf):
+    return rounded(project.covariance_matrix(cust_vectors(spark, sf), CUST_NUM), "cov")
+
+
+@query("scatter_points")
+def scatter_points(spark, sf):
+    data = emb(spark, sf)
+    return rounded(project.scatter_points(data, project.pca_fit(data, 2)), "pc1", "pc2")
