@@ -63,6 +63,8 @@ def block_pairs(
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*group).agg(F.ceil(F.count("*") / block_rows).alias(name))
 
+    # fresh column identities: both sides may come from the same table
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     blocks = sizes(left, "nl").join(sizes(right, "nr"), group)
 
     def split(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:

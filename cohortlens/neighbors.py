@@ -194,7 +194,7 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
         near = [((x[s] ** 2).sum(1)[:, None] - 2 * x[s] @ pivots.T + (pivots**2).sum(1)).argmin(1) for s in chunks(len(x), len(pivots))]
         return pa.array(np.concatenate(near).astype(np.int32) if near else np.empty(0, np.int32))
 
-    donors = donors.withColumn("cell", cell_of("features"))
+    donors = cut(donors.withColumn("cell", cell_of("features")))
     # at most (groups x pivots x width) rows: the shape of the cells, not the data
     boxes = (
         donors.select("g", "cell", F.posexplode("features").alias("p", "v"))
@@ -255,7 +255,7 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
         return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def search(visited: DataFrame) -> DataFrame:
-        return block_pairs(visited, donors, ["g", "cell"], kernel, OUT_SCHEMA, block_rows)
+        return block_pairs(cut(visited), donors, ["g", "cell"], kernel, OUT_SCHEMA, block_rows)
 
     early = cut(merged(search(queries.mapInArrow(visits(True), visit_schema))))
     per_slot = early.groupBy("qid", "slot").agg(F.max("dist").alias("far"), F.count("*").alias("c"))
