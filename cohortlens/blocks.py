@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.runtime import small
+
 BLOCK_ROWS = 4096
 BROADCAST_BYTES = 32 << 20
 CHUNK_CELLS = 2_000_000
@@ -65,7 +67,7 @@ def block_pairs(
 
     # fresh column identities: both sides may come from the same table
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    blocks = sizes(left, "nl").join(sizes(right, "nr"), group)
+    blocks = small(sizes(left, "nl").join(sizes(right, "nr"), group), len(group))
 
     def split(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         hashed = F.pmod(F.xxhash64("id", F.lit(7)), F.col(own_n)).cast("int")

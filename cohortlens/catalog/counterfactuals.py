@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens import counterfactual as cfx
 from cohortlens.catalog.base import USER_NUM, USER_VEC_SQL, query, rounded, user_features, user_model, with_
 from cohortlens.prepare import fit_scales
+from cohortlens.runtime import cut
 
 # constraints in the scaled space
 LOW, HIGH, FIXED, STEPS = 0.1, 0.9, "n_events", [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -41,7 +42,7 @@ def limited_sql(value: str, original: str) -> str:
 
 def labeled_users(spark, sf):
     unit, model = user_model(spark, sf)
-    return unit.withColumn("cluster", model.nearest()), model
+    return cut(unit.withColumn("cluster", model.nearest())), model
 
 
 def long_of(df, names=USER_NUM):

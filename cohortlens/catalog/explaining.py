@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.catalog.base import CUST_LONG_SQL, CUST_NUM, CLUSTERS_SQL, USER_NUM, cust_clusters, query, rounded, user_model, with_
 from cohortlens.explain import importance, profiles, tree
-from cohortlens.features import to_vector
+from cohortlens.features import to_long, to_vector
+from cohortlens.runtime import cut
 
 
 def explained_users(spark, sf):
-    """Users with the clusters of the three-center model."""
+    """Users with the clusters of the three-center model, assigned once."""
     unit, model = user_model(spark, sf)
-    return unit.withColumn("cluster", model.nearest())
+    return cut(unit.withColumn("cluster", model.nearest()))
 
 
 def cust_vectors(spark, sf):
@@ -103,8 +104,6 @@ def _radar_sql(axis: str) -> str:
 
 
 def _profile(spark, sf):
-    from cohortlens.features import to_long
-
     return to_long(cust_clusters(spark, sf), ["cluster"], CUST_NUM).groupBy("cluster", "feature").agg(F.avg("value").alias("mean"))
 
 

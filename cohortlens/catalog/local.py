@@ -7,6 +7,7 @@ from cohortlens.catalog.clustering import CENTERS_SQL
 from cohortlens.catalog.explaining import explained_users
 from cohortlens.clustering.model import CentersModel, group_means
 from cohortlens.explain import local
+from cohortlens.runtime import cut
 
 EMB_NAMES = [f"f{i}" for i in range(64)]
 
@@ -29,7 +30,7 @@ gap_all AS (SELECT *, distance / (sum(distance) OVER (PARTITION BY id) + 1e-10)
 
 def user_gaps(spark, sf):
     unit, model = user_model(spark, sf)
-    return local.local_distance(unit.withColumn("cluster", model.nearest()), USER_NUM, model)
+    return local.local_distance(cut(unit.withColumn("cluster", model.nearest())), USER_NUM, model)
 
 
 @query("local_distance", with_(USER_GAP_SQL) + """SELECT id, cluster, feature, ROUND(value, 4) AS value, ROUND(center_value, 4) AS center_value, ROUND(distance, 4) AS distance,

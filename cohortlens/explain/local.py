@@ -15,6 +15,7 @@ from cohortlens.blocks import matrix
 from cohortlens.clustering.model import CentersModel, group_means
 from cohortlens.explain.tree import SurrogateTree, shap_column, train_surrogate
 from cohortlens.quantiles import group_quantiles
+from cohortlens.runtime import small
 
 METHODS = ("shap", "lime", "distance", "probabilistic")
 
@@ -166,7 +167,7 @@ def local_distance(df: DataFrame, names: Sequence[str], model=None) -> DataFrame
 
     Ranking happens inside the row's array, so the long table needs no shuffle.
     """
-    joined = df.select("id", "cluster", "features").join(centers_of(df, model), "cluster")
+    joined = df.select("id", "cluster", "features").join(small(centers_of(df, model), len(names)), "cluster")
     gap = F.zip_with("features", "center", lambda a, b: F.abs(a - b))
     joined = joined.withColumn("gap", gap)
     total = F.aggregate("gap", F.lit(0.0), lambda s, g: s + g)

@@ -362,7 +362,7 @@ def fit(df: DataFrame, spec: PrepSpec = PrepSpec()) -> PrepResult:
         roles = [{**r, "low": ends[r["feature"]]["low"], "high": ends[r["feature"]]["high"]} for r in roles]
     nominal = [r["feature"] for r in roles if r["role"] == NOMINAL]
     draft = PrepModel(spec, roles, fit_categories(work, nominal, spec.max_categories))
-    encoded = cut(draft.encode(work))
+    encoded = draft.encode(work)  # cheap expressions over the checkpointed rows
     model = PrepModel(spec, roles, draft.categories, {}, encoded)
     imputed = cut(model.impute(encoded))
     kinds = {}

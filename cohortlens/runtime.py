@@ -77,3 +77,12 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], name: st
     ranked = placed.withColumn("__r", local).join(offsets, ["__p", *group])
     return ranked.withColumn(name, F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")
 
+
+def small(df: DataFrame, width: int, limit: int = 32 << 20) -> DataFrame:
+    """Materialise a summary and broadcast it in the next join if its size allows.
+
+    Joining rows to per-group summaries by shuffling on the group would put a hot group's
+    rows on one reducer; past ``limit`` bytes the plain join (with skew handling) remains.
+    """
+    table = cut(df)
+    return F.broadcast(table) if table.count() * (width + 2) * 8 <= limit else table

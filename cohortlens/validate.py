@@ -16,7 +16,7 @@ from cohortlens.blocks import (
     BLOCK_ROWS, BROADCAST_BYTES, block_pairs, chunks, fits_broadcast, matrix, squared_distances,
 )
 from cohortlens.clustering.model import group_means
-from cohortlens.runtime import shape
+from cohortlens.runtime import shape, small
 
 
 def one_method(df: DataFrame, method: str = "labels") -> DataFrame:
@@ -171,7 +171,7 @@ def dispersion(features: DataFrame, labels: DataFrame) -> DataFrame:
     """``method, cluster, n, center, spread, inertia``: mean and summed squared distance to
     the own center."""
     members = _marked(features, labels).select("id", "features", F.inline("marks"))
-    centers = group_means(members, ("method", "cluster"))
+    centers = small(group_means(members, ("method", "cluster")), shape(features)[1])
     far = members.join(centers, ["method", "cluster"]).select("method", "cluster", center_distance().alias("d"))
     sums = far.groupBy("method", "cluster").agg(F.avg("d").alias("spread"), F.sum(F.col("d") * F.col("d")).alias("inertia"))
     return centers.join(sums, ["method", "cluster"])
