@@ -173,7 +173,7 @@ def mixtures_many(
     data = df.select("id", "features").persist()
     rows, d = shape(data)
     begin = kmeans_many(data, ks, seed, n_init=1)
-    sample = hashed_sample(data, max(SAMPLE_ROWS, 20 * max(ks)), seed)
+    sample = hashed_sample(data, max(SAMPLE_ROWS, 20 * max(ks)), seed, rows)
     models = {k: _settle(_start(begin[k].centers, sample.var(0) + REG, form), sample, max_iter, tol) for k in ks}
     loglik, live = {k: -math.inf for k in ks}, list(ks)
     for _ in range(max_iter):

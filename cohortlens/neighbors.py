@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES, block_pairs, chunks, fits_broadcast, matrix
-from cohortlens.runtime import cut, shape
+from cohortlens.runtime import cut, hash_first, shape
 
 
 def gap_squared_distances(q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def box_bounds(q, lo, hi, never, always):
 def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_rows, max_pivots) -> DataFrame:
     spark = queries.sparkSession
     n_cells = int(min(max_pivots, -(-n_donors // block_rows)))
-    pivot_rows = donors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(n_cells).toArrow()
+    pivot_rows = hash_first(donors, n_cells, 11, n_donors).toArrow()
     pivots = matrix(pivot_rows["features"], width)
     means = donors.select(F.posexplode("features").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m")).collect()
     fill = np.zeros(width)

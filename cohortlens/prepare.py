@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from cohortlens.features import clean_nan, numeric_columns, to_long
 from cohortlens.impute import knn_impute
 from cohortlens.quantiles import group_quantiles
-from cohortlens.runtime import cut
+from cohortlens.runtime import cut, hash_first
 
 MISSING_LEVEL = "__missing__"
 BINARY, NOMINAL, CONTINUOUS = "binary", "nominal", "continuous"
@@ -194,10 +194,11 @@ def normality(df: DataFrame, cols: Sequence[str], id_col: str, seed: int = 42, m
     partitioning; fewer than 20 values count as not normal.
     """
     spark = df.sparkSession
+    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first()
     drawn = []
     for c in cols:  # each column has its own gaps, so its own sample
         own = df.where(F.col(c).isNotNull()).select(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(id_col).alias("id"))
-        drawn.append(own.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_n))
+        drawn.append(hash_first(own, max_n, seed, counts[c]))
     sample = cut(reduce(DataFrame.unionByName, drawn))
     w = Window.partitionBy("feature").orderBy("x", "id")
     ranked = sample.withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("feature")))

@@ -30,7 +30,7 @@ def overview(df: DataFrame, not_features: int = 0) -> DataFrame:
     return agg.select(
         "n_rows",
         F.lit(cells - not_features).cast("bigint").alias("n_features"),
-        (F.coalesce("gaps", F.lit(0)) / (F.col("n_rows") * cells) * 100).alias("missing_pct"),
+        (F.coalesce("gaps", F.lit(0)) / F.nullif(F.col("n_rows") * cells, F.lit(0)) * 100).alias("missing_pct"),
     )
 
 
