@@ -128,6 +128,19 @@ def test_density_finds_groups_and_noise(spark):
     assert placed[1] == -1
 
 
+@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "block_rows": 16}])
+def test_shortest_edge_out_of_each_component(spark, how):
+    rng = np.random.default_rng(6)
+    x, comp = rng.normal(size=(50, 3)), np.arange(50) % 4
+    df = frame(spark, x, comp).select("id", "features", F.lit(0.1).alias("core"), F.col("cluster").cast("bigint").alias("comp"))
+    got = {r.comp: (r.src, r.dst) for r in density.closest_outside(df, **how).collect()}
+    d = np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 0.1)
+    for c in range(4):
+        inside, outside = np.flatnonzero(comp == c), np.flatnonzero(comp != c)
+        i, j = np.unravel_index(d[np.ix_(inside, outside)].argmin(), (len(inside), len(outside)))
+        assert got[c] == (inside[i], outside[j])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).where("id <> 30").select(F.lit(0).alias("level"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     nodes = spark.range(61).withColumn("level", F.lit(0))
