@@ -1,4 +1,4 @@
-"""Preparation: the reference behaviours as invariants."""
+"""Preparation: roles, encoding, imputation and scaling as invariants."""
 
 import datetime as dt
 import math
