@@ -11,8 +11,6 @@ from cohortlens.runtime import shared_dir
 
 #: Words are runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A word with the ASCII white space that follows it, for cutting a text without losing any of it.
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +41,19 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def whole_rows(docs: DataFrame, keys: dict[str, Column], stay: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are in ``stay``, one for each, with all their columns.
+
+    ``stay`` has one row per wanted key, in columns named as ``keys``; nulls equal nulls. Of rows
+    with the same key the one whose columns have the smallest hash is taken.
+    """
+    own = {name: free_name(docs, f"__{name}") for name in keys}
+    stay = stay.select(*[F.col(name).alias(f"__stay_{name}") for name in keys])
+    rows = docs.withColumns({own[name]: col for name, col in keys.items()})
+    same = [rows[own[name]].eqNullSafe(stay[f"__stay_{name}"]) for name in keys]
+    rows = rows.join(stay, same, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rows.groupBy(*own.values()).agg(F.min_by(whole, F.xxhash64(whole)).alias("__row"))
+    return one.select("__row.*")

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import free_name, staged, text_or_empty
+from cohortlens.llm.common import staged, text_or_empty, whole_rows
 
 
 def digest(text: str = "text") -> Column:
@@ -82,14 +82,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Where several rows share both the id and the text that stay, the one whose columns have the
     smallest hash is taken.
     """
-    d = free_name(docs, "digest")
-    stay = groups(docs, index).where("kept").select("doc_id", F.col("digest").alias(d))
-    rows = docs.withColumn(d, digest())
-    same = rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows[d] == stay[d])
-    rows = rows.join(stay, same, "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = rows.groupBy("doc_id", d).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
-    return one.select("row.*")
+    stay = groups(docs, index).where("kept").select("doc_id", "digest")
+    return whole_rows(docs, {"doc_id": F.col("doc_id"), "digest": digest()}, stay)
 
 
 def duplicate_report(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import exact, ring
+from cohortlens.llm import bpe, exact, ring, simhash, suffixes, toxicity
 from cohortlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,23 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicate_report(read(spark, sf_dir, "documents"))
+
+
+@query("op8_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"), bpe.public_ranks())
+
+
+@query("op9_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@query("op2_counterfactual_toxicity")
+def counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op10_sparse_suffix_repeats")
+def sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
