@@ -3,7 +3,8 @@
 1. *Split.* Each task cuts its texts at white space into words (a word keeps the space before it),
    in blocks of about ``BLOCK_BYTES``. Of a block, one row per text holds the positions (numbers of
    the block's distinct words in order), and one row per bucket of a hash holds the distinct words
-   themselves. This is a written table: the costly cutting is never repeated.
+   themselves. Both are made from the texts when they are shuffled; a block is named by a hash of
+   its texts, so that the two always fit each other.
 2. *Encode.* The words are dealt out by bucket, so that equal words of all blocks meet, each is
    encoded once, and every block gets the ids of its words back.
 3. *Reassemble.* By block, ids are put where the positions name them.
@@ -24,15 +25,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from cohortlens.llm.common import staged
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text whose distinct words are numbered together; bounds a task's memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Parts into which the words are hashed; a task holds the distinct words of one at a time.
 BUCKETS = 512
 #: Words whose ids a task remembers; beyond it forgets them all and encodes anew.
@@ -127,58 +127,76 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays(pieces), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _block_rows(tables: list[pa.RecordBatch], block: int, schema: pa.Schema, text: str, keep: list[str]) -> pa.RecordBatch:
-    """One block: a row per bucket of distinct words (kind 0), and a row per text (kind 1)."""
-    table = pa.Table.from_batches(tables)
-    flat, starts = words_of(table.column(text).combine_chunks())
-    coded = flat.dictionary_encode()
-    codes, words = np.asarray(coded.indices), [w.encode() for w in coded.dictionary.to_pylist()]
-    bucket = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % BUCKETS
-    order = np.argsort(bucket, kind="stable")
-    place = np.empty(len(words), np.uint32)
-    place[order] = np.arange(len(words), dtype=np.uint32)
-    present, cuts = np.unique(bucket[order], return_index=True)
-    dealt = []
-    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]):
-        own = [words[i] for i in order[low:high]]
-        dealt.append(_pack(np.fromiter(map(len, own), np.uint32, len(own)), body=b"".join(own)))
-    places = place[codes] if len(words) else np.zeros(0, np.uint32)
-    ordered = [_pack(places[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-    n, m = len(dealt), len(ordered)
-    columns = {
-        "kind": pa.array([0] * n + [1] * m, pa.int8()), "block": pa.array([block] * (n + m), pa.int64()),
-        "bucket": pa.array([*present.tolist(), *[None] * m], pa.int32()), "packed": pa.array(dealt + ordered, pa.binary()),
-    }
-    for i, c in enumerate(keep):
-        kind = schema.field(f"k{i}").type
-        own = table.column(c).cast(kind).combine_chunks()
-        columns[f"k{i}"] = pa.concat_arrays([pa.nulls(n, kind), own])
-    return pa.RecordBatch.from_arrays([columns[f.name] for f in schema], schema=schema)
-
-
-def split(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Step 1: ``kind, block, bucket, packed`` and the columns ``keep`` as ``k0, k1, ...``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+class _Block:
+    """The texts of a block as positions in its distinct words, which are in order of bucket and
+    then of bytes; ``key`` names the block by its texts."""
+
+    def __init__(self, batches: list[pa.RecordBatch], text: str):
+        self.table = pa.Table.from_batches(batches)
+        flat, self.starts = words_of(self.table.column(text).combine_chunks())
+        coded = flat.dictionary_encode()
+        words = [w.encode() for w in coded.dictionary.to_pylist()]
+        buckets = [zlib.crc32(w) % BUCKETS for w in words]
+        order = sorted(range(len(words)), key=lambda i: (buckets[i], words[i]))
+        self.words, self.buckets = [words[i] for i in order], np.array([buckets[i] for i in order], np.int32)
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        self.places = place[np.asarray(coded.indices)] if words else np.zeros(0, np.uint32)
+        key = xxhash.xxh64(self.starts.tobytes())
+        key.update(self.places.tobytes())
+        key.update(b"\0".join(self.words))
+        self.key = int.from_bytes(key.digest(), "big", signed=True)
+
+    def word_rows(self) -> tuple[list[int], list[bytes]]:
+        """Buckets that have words, and the words of each."""
+        present, cuts = np.unique(self.buckets, return_index=True)
+        parts = [self.words[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.words)])]
+        return present.tolist(), [_pack(np.fromiter(map(len, p), np.uint32, len(p)), body=b"".join(p)) for p in parts]
+
+    def position_rows(self) -> list[bytes]:
+        return [_pack(self.places[a:b]) for a, b in zip(self.starts[:-1].tolist(), self.starts[1:].tolist())]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[_Block]:
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * BLOCK_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            held.append(part)
+            size += part.nbytes
+            if size >= BLOCK_BYTES:
+                yield _Block(held, text)
+                held, size = [], 0
+    if held:
+        yield _Block(held, text)
+
+
+def split_words(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``block, bucket, packed``: the distinct words of every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, text):
+            buckets, packed = block.word_rows()
+            columns = [pa.array([block.key] * len(packed), pa.int64()), pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "packed"])
+
+    # the same columns as for the positions, so that both read the same plan
+    return docs.select(*{text: None, **dict.fromkeys(keep)}).mapInArrow(run, "block bigint, bucket int, packed binary")
 
+
+def split_positions(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``block, packed`` and the columns ``keep`` as ``k0, k1, ...``: the positions of every text."""
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    schema = T.StructType([
-        T.StructField("kind", T.ByteType()), T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()),
-        T.StructField("packed", T.BinaryType()), *fields])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("packed", T.BinaryType()), *fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            step = max(1, batch.num_rows * BLOCK_BYTES // max(1, batch.nbytes))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                held.append(part)
-                size += part.nbytes
-                if size >= BLOCK_BYTES:
-                    yield _block_rows(held, block, arrow, text, keep)
-                    block, held, size = block + 1, [], 0
-        if held:
-            yield _block_rows(held, block, arrow, text, keep)
+        for block in _blocks(batches, text):
+            packed = block.position_rows()
+            kept = [block.table.column(c).cast(arrow.field(f"k{i}").type).combine_chunks() for i, c in enumerate(keep)]
+            columns = [pa.array([block.key] * len(packed), pa.int64()), pa.array(packed, pa.binary()), *kept]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.select(*{text: None, **dict.fromkeys(keep)}).mapInArrow(run, schema)
 
@@ -231,27 +249,27 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", keep: list[str] |
 
     A null text counts as the empty one, which has no ids. Special tokens' strings are ordinary
     text. Rows appear as often as they do in ``docs``. Raises where ``keep`` has ``n_tokens`` or
-    ``ids`` itself.
+    ``ids`` itself. ``docs`` is read twice and must give the same rows in the same order in each
+    task, as a written table does; where it doesn't, blocks don't fit and this raises.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else list(keep)
     if {"n_tokens", "ids"} & set(keep):
         raise ValueError("docs has a column named n_tokens or ids; rename it or leave it out of keep")
-    split_rows = staged(split(docs, text, keep), "bpe-words", "kind")
-    words = encode_words(split_rows.where("kind = 0"), ranks)
-    positions = split_rows.where("kind = 1").drop("kind", "bucket")
+    words, positions = encode_words(split_words(docs, text, keep), ranks), split_positions(docs, text, keep)
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def rebuild(texts: pa.Table, dealt: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         out = to_arrow_schema(schema)
-        parts = sorted(zip(dealt.column("bucket").to_pylist(), dealt.column("packed").to_pylist()))
-        unpacked = [_unpack(p)[0] for _, p in parts]
+        parts = dict(zip(dealt.column("bucket").to_pylist(), dealt.column("packed").to_pylist()))  # equal blocks have equal parts
+        unpacked = [_unpack(parts[b])[0] for b in sorted(parts)]
         lengths = np.concatenate([np.zeros(0, np.uint32), *[u[0] for u in unpacked]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *[u[1] for u in unpacked]])
         starts = np.cumsum(lengths) - lengths
-        rows = [_gather(_unpack(p)[0][0], lengths, starts, flat) for p in texts.column("packed").to_pylist()]
+        places = [_unpack(p)[0][0] for p in texts.column("packed").to_pylist()]
+        if not len(lengths) and any(map(len, places)):
+            raise ValueError("the texts were not the same when they were read again; write them to a table first")
+        rows = [_gather(p, lengths, starts, flat) for p in places]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         ids = pa.array(np.concatenate([np.zeros(0, np.uint32), *rows]).view(np.int32))
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))

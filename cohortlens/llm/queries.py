@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, exact, ring, simhash, suffixes, toxicity
+from cohortlens.llm import bpe, exact, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
 from cohortlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,23 @@ def counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sparse_suffix_repeats")
 def sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op3_divergence_rules")
+def divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(read(spark, sf_dir, "documents"))
+
+
+@query("op6_raked_mixture")
+def raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
+@query("op1_weak_label_quality")
+def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.scored(read(spark, sf_dir, "documents"))
+
+
+@query("op4_tree_main_text")
+def tree_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_texts(read(spark, sf_dir, "pages"))

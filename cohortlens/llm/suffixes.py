@@ -49,8 +49,9 @@ class WordHashes:
         words, known = _WORD.findall(text or ""), self.known
         if len(known) > self.most:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxh64_intdigest(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 

@@ -1,8 +1,8 @@
 """Toxicity scores from a counterfactually regularised linear classifier.
 
 Labelled texts train a hashed linear model. Besides, every sentence of theirs that names an
-identity is written anew with each other term of the same group, and the model is charged for the
-square of the change in score: a group's name alone must not move it.
+identity is written anew with each other term of the same group, and without any, and the model is
+charged for the square of the change in score: a group's name alone must not move it.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def featurizer() -> Callable[[str], Iterable[int]]:
 
 
 def swaps(text: str, groups: list[list[str]] = IDENTITY_TERMS) -> Iterator[tuple[list[str], list[str]]]:
-    """Words of each sentence that names an identity, and of the sentence with one term swapped."""
+    """Words of each sentence that names an identity, and of the sentence with one term swapped for
+    another of its group, or left out."""
     others = {term: [o for g in groups if term in g for o in g if o != term] for g in groups for term in g}
     for sentence in _SENTENCE.split(text.lower()):
         words = LETTERS.findall(sentence)

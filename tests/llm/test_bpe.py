@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -66,3 +67,19 @@ def test_decode_any_ids(ranks, spark):
     df = spark.createDataFrame([(1, [5, 100, 7]), (2, []), (3, None)], "doc_id bigint, ids array<int>")
     got = {r.doc_id: r.decoded for r in bpe.decode(df, ranks).collect()}
     assert {k: v if v is None else bytes(v) for k, v in got.items()} == {1: table[5] + table[100] + table[7], 2: b"", 3: None}
+
+
+def test_equal_blocks_and_unstable_texts(ranks, spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 40)
+    rows = [(i, "one two three four five six seven") for i in range(12)]  # every block alike
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(ranks, df, rows)
+    from pyspark.sql import functions as F
+
+    @F.udf("string")
+    def other(text):
+        return text + os.urandom(8).hex()
+
+    shifting = df.withColumn("text", other.asNondeterministic()("text"))
+    with pytest.raises(Exception, match="write them to a table first"):
+        bpe.encode(shifting, ranks, keep=["doc_id"]).collect()
