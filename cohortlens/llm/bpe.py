@@ -17,9 +17,10 @@ space follows something else, hence words can be encoded on their own.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,8 @@ class _Block:
         coded = flat.dictionary_encode()
         words = [w.encode() for w in coded.dictionary.to_pylist()]
         buckets = [zlib.crc32(w) % BUCKETS for w in words]
-        order = sorted(range(len(words)), key=lambda i: (buckets[i], words[i]))
+        order = sorted(range(len(words)), key=words.__getitem__)
+        order.sort(key=buckets.__getitem__)  # stable: by bucket, then by bytes
         self.words, self.buckets = [words[i] for i in order], np.array([buckets[i] for i in order], np.int32)
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
@@ -244,20 +246,14 @@ def _gather(places: np.ndarray, lengths: np.ndarray, starts: np.ndarray, flat: n
     return flat[at]
 
 
-def encode(docs: DataFrame, ranks: Ranks, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all but the text by default) with ``n_tokens`` and ``ids array<int>``.
+#: What to make of each text's ids: columns of a schema, one array each.
+Finish = Callable[[list[np.ndarray]], list[pa.Array]]
 
-    A null text counts as the empty one, which has no ids. Special tokens' strings are ordinary
-    text. Rows appear as often as they do in ``docs``. Raises where ``keep`` has ``n_tokens`` or
-    ``ids`` itself. ``docs`` is read twice and must give the same rows in the same order in each
-    task, as a written table does; where it doesn't, blocks don't fit and this raises.
-    """
-    keep = [c for c in docs.columns if c != text] if keep is None else list(keep)
-    if {"n_tokens", "ids"} & set(keep):
-        raise ValueError("docs has a column named n_tokens or ids; rename it or leave it out of keep")
+
+def _reassembled(docs: DataFrame, ranks: Ranks, text: str, keep: list[str], made: list[T.StructField], finish: Finish) -> DataFrame:
+    """Step 3: the columns ``keep`` and those that ``finish`` makes of the ids of a block's texts."""
     words, positions = encode_words(split_words(docs, text, keep), ranks), split_positions(docs, text, keep)
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *made])
 
     def rebuild(texts: pa.Table, dealt: pa.Table) -> pa.Table:
         out = to_arrow_schema(schema)
@@ -269,37 +265,63 @@ def encode(docs: DataFrame, ranks: Ranks, text: str = "text", keep: list[str] |
         places = [_unpack(p)[0][0] for p in texts.column("packed").to_pylist()]
         if not len(lengths) and any(map(len, places)):
             raise ValueError("the texts were not the same when they were read again; write them to a table first")
-        rows = [_gather(p, lengths, starts, flat) for p in places]
+        columns = [texts.column(f"k{i}") for i in range(len(keep))]
+        columns += finish([_gather(p, lengths, starts, flat) for p in places])
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
+
+    return positions.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(rebuild, schema)
+
+
+def encode(docs: DataFrame, ranks: Ranks, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all but the text by default) with ``n_tokens`` and ``ids array<int>``.
+
+    A null text counts as the empty one, which has no ids. Special tokens' strings are ordinary
+    text. Rows appear as often as they do in ``docs``. Raises where ``keep`` has ``n_tokens`` or
+    ``ids`` itself. ``docs`` is read twice and must give the same rows in the same order in each
+    task, as a written table does; where it doesn't, blocks don't fit and this raises.
+    """
+    keep = [c for c in docs.columns if c != text] if keep is None else list(keep)
+    if {"n_tokens", "ids"} & set(keep):
+        raise ValueError("docs has a column named n_tokens or ids; rename it or leave it out of keep")
+
+    def lists(rows: list[np.ndarray]) -> list[pa.Array]:
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
         ids = pa.array(np.concatenate([np.zeros(0, np.uint32), *rows]).view(np.int32))
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-        kept = [texts.column(f"k{i}").cast(out.field(i).type) for i in range(len(keep))]
-        return pa.Table.from_arrays([*kept, pa.array(sizes), pa.ListArray.from_arrays(offsets, ids).cast(out.field("ids").type)], schema=out)
+        return [pa.array(sizes), pa.ListArray.from_arrays(offsets, ids)]
+
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    return _reassembled(docs, ranks, text, keep, made, lists)
 
-    return positions.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(rebuild, schema)
+
+def bytes_of(ids: np.ndarray, table: list[bytes]) -> bytes:
+    """Every id looked up in the token-byte table, joined in order; an unknown id raises."""
+    return b"".join([table[i] for i in ids.tolist()])
 
 
 def decode(encoded: DataFrame, ranks: Ranks, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds ``out``, the bytes that the ids stand for: every id is looked up in the token-byte
-    table (broadcast: it is as large as the vocabulary) and joined in order. Null ids: null; an
-    unknown id raises."""
+    """Adds ``out``, the bytes that the ids stand for. The token-byte table, as large as the
+    vocabulary, goes to every task, which joins the ids with it. Null ids: null."""
     shared = encoded.sparkSession.sparkContext.broadcast(ranks.token_bytes())
 
     @F.pandas_udf("binary")
     def look_up(rows: pd.Series) -> pd.Series:
         table = shared.value
-        return pd.Series([None if r is None else b"".join([table[i] for i in r.tolist()]) for r in rows], dtype=object)
+        return pd.Series([None if r is None else bytes_of(r, table) for r in rows], dtype=object)
 
     return encoded.withColumn(out, look_up(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, ranks: Ranks) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text."""
-    both = decode(encode(docs, ranks, keep=["doc_id"]), ranks)
-
-    @F.pandas_udf("binary")
-    def little_endian(rows: pd.Series) -> pd.Series:
-        return pd.Series([r.astype("<u4").tobytes() for r in rows], dtype=object)
-
-    return both.select("doc_id", "n_tokens", F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: every text is encoded, and its ids are
+    decoded where they are put together, so that neither ids nor bytes need travel."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks.token_bytes())
+
+    def digests(rows: list[np.ndarray]) -> list[pa.Array]:
+        table, sha = shared.value, hashlib.sha256
+        ids = [sha(r.astype("<u4").tobytes()).hexdigest() for r in rows]
+        decoded = [sha(bytes_of(r, table)).hexdigest() for r in rows]
+        return [pa.array([len(r) for r in rows], pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+
+    made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _reassembled(docs, ranks, "text", ["doc_id"], made, digests)
