@@ -33,6 +33,11 @@ def matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All squared distances. Both sides are moved to the middle of ``y`` first: the expanded
+    square would lose its digits where values are large against their differences."""
+    if len(y):
+        middle = y.mean(0)
+        x, y = x - middle, y - middle
     d2 = (x * x).sum(1)[:, None] - 2.0 * (x @ y.T) + (y * y).sum(1)[None, :]
     return np.maximum(d2, 0.0)
 

@@ -231,14 +231,13 @@ def elbow_table(spark, sf):
 
 @query("optimal_k_run")
 def optimal_k_run(spark, sf):
-    out = compare.determine_optimal_k(cust_scaled(spark, sf), range(2, 8), "kmeans", "multi")
+    out = compare.determine_optimal_k(cust_scaled(spark, sf), range(2, 11), "kmeans", "multi")
     return rounded(out, "silhouette", "davies_bouldin", "calinski_harabasz", "score")
 
 
 @query("compare_run")
 def compare_run(spark, sf):
-    options = {"gmm_auto": {"max_k": 6, "form": "diag"}, "gmm": {"form": "diag"}, "hdbscan": {"min_cluster_size": 5, "n_levels": 6}}
-    scores, _, _ = compare.compare_run(user_unit(spark, sf), 3, options=options)
+    scores, _, _ = compare.compare_run(user_unit(spark, sf), 3)
     best = compare.best_method(scores).select("method").scalar()
     return rounded(scores.withColumn("best", F.col("method") == best), "silhouette", "davies_bouldin", "calinski_harabasz")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlens import counterfactual as cfx
 from cohortlens.catalog.base import USER_NUM, USER_VEC_SQL, query, rounded, user_features, user_model, with_
+from cohortlens.clustering.mixture import MixtureModel
 from cohortlens.prepare import fit_scales
 from cohortlens.runtime import cut
 
@@ -112,6 +114,21 @@ def cf_nearest(spark, sf):
     return rounded(nearest_cfs(spark, sf).select(*SUMMARY), "distance")
 
 
+def mixture_users(spark, sf):
+    """The users under a mixture whose components differ in their means only, so that the most
+    probable component is the one with the nearest mean."""
+    points, model = labeled_users(spark, sf)
+    k, d = model.centers.shape
+    return points, MixtureModel(np.full(k, 1.0 / k), model.centers, np.full(k, 0.05), "spherical")
+
+
+@query("cf_nearest_mixture", with_(NEAREST_SQL) + f"""SELECT id, cf_rank, cluster AS original_cluster, target AS target_cluster, target AS predicted_cluster, true AS success,
+  ROUND(list_distance(x, cf), 4) AS distance, {N_CHANGED_SQL} AS n_changes FROM chg""")
+def cf_nearest_mixture(spark, sf):
+    points, model = mixture_users(spark, sf)
+    return rounded(cfx.nearest_counterfactuals(points, model, constraints=limits(), n=3).select(*SUMMARY), "distance")
+
+
 def optimum_sql(settings: str) -> str:
     """CTEs ending in ``solved(id, variant, x, cluster, target, cf, predicted)``."""
     grid = "[" + ", ".join(f"{g!r}::DOUBLE" for g in cfx.GRID) + "]"
@@ -140,6 +157,14 @@ def cf_optimize(spark, sf):
     return rounded(cfx.optimized_counterfactuals(points, model, constraints=limits()).select(*SUMMARY), "distance")
 
 
+@query("cf_optimize_mixture", with_(optimum_sql("SELECT 0 AS variant, 0.1::DOUBLE AS sparse, 1.0::DOUBLE AS weight")) + f"""SELECT id, 1 AS cf_rank, cluster AS original_cluster, target AS target_cluster,
+  predicted AS predicted_cluster, predicted = target AS success, ROUND(list_distance(x, cf), 4) AS distance,
+  CAST({' + '.join(f'CASE WHEN abs(cf[{i}] - x[{i}]) > 1e-6 THEN 1 ELSE 0 END' for i in range(1, D + 1))} AS INTEGER) AS n_changes FROM solved""")
+def cf_optimize_mixture(spark, sf):
+    points, model = mixture_users(spark, sf)
+    return rounded(cfx.optimized_counterfactuals(points, model, constraints=limits()).select(*SUMMARY), "distance")
+
+
 @query("cf_diverse", with_(optimum_sql(" UNION ALL ".join(
     f"SELECT {i} AS variant, {cfx.SPARSE_START + cfx.SPARSE_STEP * i!r}::DOUBLE AS sparse, {cfx.DISTANCE_START - cfx.DISTANCE_STEP * i!r}::DOUBLE AS weight" for i in range(6))),
     f"packed AS (SELECT id, cluster, target, any_value(x) AS x, list(cf ORDER BY variant) AS c FROM solved WHERE predicted = target GROUP BY id, cluster, target)",

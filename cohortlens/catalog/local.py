@@ -49,7 +49,7 @@ def local_membership(spark, sf):
 @query("local_all")
 def local_all(spark, sf):
     data = explained_users(spark, sf)
-    return rounded(local.explain_all(data, USER_NUM, model=user_model(spark, sf)[1], lime={"n_samples": 1000}), "value", "score")
+    return rounded(local.explain_all(data, USER_NUM, model=user_model(spark, sf)[1]), "value", "score")
 
 
 @query("local_topn", with_(USER_GAP_SQL) + """SELECT id, feature, ROUND(value, 4) AS value, ROUND(difference, 4) AS difference, ROUND(share_pct, 4) AS share_pct, direction, CAST(rank AS INTEGER) AS rank FROM (

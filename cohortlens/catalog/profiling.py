@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from cohortlens import profile
+from cohortlens import profile, sources
 from cohortlens.catalog.base import CUST_NUM, CUST_SQL, GAPS_SQL, cust_features, cust_gaps, query, rounded, table, union_sql, with_
+from cohortlens.runtime import shared_dir
 
 SCANNED = ["customer", "orders", "events", "embeddings", "documents"]
 
@@ -21,6 +23,15 @@ def scan_counts(spark, sf):
     return out
 
 
+@query("csv_roundtrip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_roundtrip(spark, sf):
+    """The customers written as CSV to the shared folder and read back by schema."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    sources.write_csv(customers, path)
+    return sources.read_csv(spark, path, customers.schema)
+
+
 GAP_COLS = ["id", "acctbal", "segment", "in_debt", "n_orders", "spend_mean", "urgent_share", "open_share"]
 GAP_COUNT = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in GAP_COLS)
 

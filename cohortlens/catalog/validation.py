@@ -44,6 +44,27 @@ def silhouette_exact(spark, sf):
     return rounded(validate.silhouette(emb(spark, sf), noise_labels(spark, sf)), "silhouette")
 
 
+@query("silhouette_blocks", LABEL_SQL + "SELECT method, ROUND(avg(silhouette), 4) AS silhouette FROM sil GROUP BY method")
+def silhouette_blocks(spark, sf):
+    """The path of tables too large to broadcast."""
+    return rounded(validate.silhouette(emb(spark, sf), noise_labels(spark, sf), broadcast_bytes=0, block_rows=64), "silhouette")
+
+
+def far_emb(spark, sf):
+    """The embeddings moved far from zero, which changes no distance."""
+    return emb(spark, sf).withColumn("features", F.transform("features", lambda v: v + 1e8))
+
+
+@query("silhouette_far", LABEL_SQL + "SELECT method, ROUND(avg(silhouette), 4) AS silhouette FROM sil GROUP BY method")
+def silhouette_far(spark, sf):
+    return rounded(validate.silhouette(far_emb(spark, sf), noise_labels(spark, sf)), "silhouette")
+
+
+@query("calinski_harabasz_far", LABEL_SQL + "SELECT method, ROUND(calinski_harabasz, 4) AS calinski_harabasz FROM ch")
+def calinski_harabasz_far(spark, sf):
+    return rounded(validate.calinski_harabasz(validate.dispersion(far_emb(spark, sf), noise_labels(spark, sf))), "calinski_harabasz")
+
+
 @query("silhouette_sq", LABEL_SQL.replace("list_distance(a.x, b.x) AS d FROM emb a", "list_distance(a.x, b.x) ** 2 AS d FROM emb a")
        + "SELECT method, ROUND(avg(silhouette), 4) AS silhouette FROM sil GROUP BY method")
 def silhouette_sq(spark, sf):

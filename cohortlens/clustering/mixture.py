@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,19 @@ class MixtureModel:
     def k(self) -> int:
         return len(self.weights)
 
+    @property
+    def labels(self) -> tuple[int, ...]:
+        return tuple(range(self.k))
+
+    @property
+    def centers(self) -> np.ndarray:
+        return self.means
+
+    def nearest(self, features: Column | str = "features") -> Column:
+        """Label of the most probable component."""
+        p = self.probability(features)
+        return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
     def log_densities(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of every row and component."""
         d = x.shape[1]
@@ -170,7 +183,11 @@ def mixtures_many(
     if form not in FORMS:
         raise ValueError(f"unknown covariance form {form}")
     ks = [int(k) for k in ks]
-    data = df.select("id", "features").persist()
+    # second moments lose their digits far from zero, so all work is about the mean
+    means = df.select(F.posexplode("features").alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m")).collect()
+    middle = np.array([r.m for r in sorted(means, key=lambda r: r.p)], float)
+    about = F.array(*[F.lit(float(v)) for v in middle])
+    data = df.select("id", F.zip_with("features", about, lambda v, m: v - m).alias("features")).persist()
     rows, d = shape(data)
     begin = kmeans_many(data, ks, seed, n_init=1)
     sample = hashed_sample(data, max(SAMPLE_ROWS, 20 * max(ks)), seed, rows)
@@ -186,7 +203,8 @@ def mixtures_many(
             break
     final = e_pass(data, [models[k] for k in ks])
     data.unpersist()
-    return {k: (models[k], float(f[0, 1]), rows) for k, f in zip(ks, final)}
+    moved = {k: replace(models[k], means=models[k].means + middle) for k in ks}
+    return {k: (moved[k], float(f[0, 1]), rows) for k, f in zip(ks, final)}
 
 
 def _settle(model: MixtureModel, sample: np.ndarray, max_iter: int, tol: float) -> MixtureModel:

@@ -7,11 +7,13 @@ array columns, so a single id and a whole table are the same job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.clustering.model import CentersModel
+from cohortlens.clustering.model import CentersModel, group_means
 from cohortlens.neighbors import nearest
 
 # fixed values: steps towards an example, numbers of examples, and the objective's terms
@@ -118,6 +120,22 @@ def with_target(sources: DataFrame, clusters: Sequence[int], target: int | None
     return sources.withColumn("target", goal.cast("int")).where(F.col("target").isNotNull())
 
 
+class Model(Protocol):
+    """What counterfactuals ask of a clustering: labels, a center for each, and the label of a
+    vector. Centers, medoids, mixtures and hierarchical models have them; :func:`by_means` makes
+    one of any labeled rows, such as those of density or spectral clustering."""
+
+    labels: tuple[int, ...]
+    centers: np.ndarray
+
+    def nearest(self, features: Column | str = "features") -> Column: ...
+
+
+def by_means(points: DataFrame) -> CentersModel:
+    """Clusters as the means of their members; noise has none."""
+    return CentersModel.from_frame(group_means(points.where("cluster >= 0")))
+
+
 def _clusters(points: DataFrame) -> list[int]:
     return [r.cluster for r in points.where("cluster >= 0").select("cluster").distinct().collect()]
 
@@ -158,7 +176,7 @@ def _examples(sources: DataFrame, points: DataFrame, k: int, **how) -> DataFrame
 
 
 def nearest_candidates(
-    points: DataFrame, model: CentersModel, sources: DataFrame | None = None, target: int | None = None,
+    points: DataFrame, model: Model, sources: DataFrame | None = None, target: int | None = None,
     constraints: Constraints | None = None, n: int = 3, **how,
 ) -> DataFrame:
     """Steps towards the nearest target examples that the model puts into the target:
@@ -173,7 +191,7 @@ def nearest_candidates(
 
 
 def nearest_counterfactuals(
-    points: DataFrame, model: CentersModel, sources: DataFrame | None = None, target: int | None = None,
+    points: DataFrame, model: Model, sources: DataFrame | None = None, target: int | None = None,
     constraints: Constraints | None = None, n: int = 3, diversity: float = 0.5, **how,
 ) -> DataFrame:
     """Up to ``n`` diverse counterfactuals per id out of :func:`nearest_candidates`."""
@@ -203,7 +221,7 @@ def _optimum(start: str, goal: str, sparse: Column, distance: Column, constraint
     return F.array_min(F.transform(tried, score))
 
 
-def _solve(goal: DataFrame, points: DataFrame, model: CentersModel, constraints: Constraints | None, **how) -> DataFrame:
+def _solve(goal: DataFrame, points: DataFrame, model: Model, constraints: Constraints | None, **how) -> DataFrame:
     """``goal`` (id, features, cluster, target, sparse, distance, variant) with ``cf`` and
     ``predicted``; a miss falls back to steps towards the nearest target example."""
     width = model.centers.shape[1]
@@ -226,7 +244,7 @@ def _solve(goal: DataFrame, points: DataFrame, model: CentersModel, constraints:
 
 
 def optimized_counterfactuals(
-    points: DataFrame, model: CentersModel, sources: DataFrame | None = None, target: int | None = None,
+    points: DataFrame, model: Model, sources: DataFrame | None = None, target: int | None = None,
     constraints: Constraints | None = None, lambda_sparse: float = 0.1, lambda_distance: float = 1.0, **how,
 ) -> DataFrame:
     """One counterfactual per id minimising ``lambda_distance * |x - center| +
@@ -238,7 +256,7 @@ def optimized_counterfactuals(
 
 
 def diverse_counterfactuals(
-    points: DataFrame, model: CentersModel, sources: DataFrame | None = None, target: int | None = None,
+    points: DataFrame, model: Model, sources: DataFrame | None = None, target: int | None = None,
     constraints: Constraints | None = None, n: int = 3, diversity: float = 0.5, **how,
 ) -> DataFrame:
     """Up to ``n`` diverse successful optima over ``2 n`` settings of the two weights."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES
 from cohortlens.neighbors import nearest
+from cohortlens.runtime import cut
 
 N_SAMPLE_CELLS = 100
 K_RANGE = range(2, 16)
@@ -40,7 +41,7 @@ def knn_impute(
     means = donors.agg(*[F.avg(c).alias(c) for c in cols]).first()
     # a row is not its own donor: it lacks the very cell that is asked for
     hits = nearest(
-        _vectors(holed, id_col, cols), _vectors(donors, "id" if "id" in donors.columns else id_col, cols), k,
+        _vectors(holed, id_col, cols), _vectors(donors, id_col if id_col in donors.columns else "id", cols), k,
         per_gap=True, broadcast_bytes=broadcast_bytes, block_rows=block_rows,
     )
     by_row = (
@@ -73,13 +74,14 @@ def knn_k_search(
     cols = list(cols)
     long = df.select(F.col(id_col).alias("id"), F.posexplode(F.array(*cols)).alias("slot", "truth")).where("truth IS NOT NULL")
     order = F.xxhash64("id", "slot", F.lit(42)) if cell_order is None else cell_order
-    picked = long.orderBy(order, "id", "slot").limit(n_cells)
+    # numbered once and kept: a number for each of the few hidden cells
+    picked = cut(long.orderBy(order, "id", "slot").limit(n_cells)).withColumn("cell", F.monotonically_increasing_id())
+    picked = cut(picked)
     rows = picked.join(_vectors(df, id_col, cols), "id")
     kmax = max(ks)
     # the hidden cell is asked for; the row itself must not answer for it
     hidden = rows.select(
-        "id", "slot", "truth",
-        (F.col("id") * len(cols) + F.col("slot")).alias("cell"),
+        "id", "slot", "truth", "cell",
         F.transform("features", lambda v, i: F.when(i == F.col("slot"), F.lit(None)).otherwise(v)).alias("features"),
     )
     asked = hidden.select(F.col("cell").alias("id"), "features")

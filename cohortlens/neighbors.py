@@ -48,7 +48,7 @@ def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def top_k(q, qid, d, did, k, per_gap, exclude_self):
-    """``(query row, slot, donor row, distance)`` of the k best donors of each slot."""
+    """``(query row, slot, donor row, distance, rank)`` of the k best donors of each slot."""
     found = []
     for part in chunks(len(q), len(d)):
         d2, slack = gap_squared_distances(q[part], d)
@@ -79,21 +79,28 @@ def top_k(q, qid, d, did, k, per_gap, exclude_self):
             start = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
             rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
             keep = rank < k
-            found.append((qi[keep], np.full(keep.sum(), slot), di[keep], dist[keep]))
+            found.append((qi[keep], np.full(keep.sum(), slot), di[keep], dist[keep], rank[keep] + 1))
     if not found:
-        return tuple(np.empty(0, t) for t in (int, int, int, float))
+        return tuple(np.empty(0, t) for t in (int, int, int, float, int))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _result(qid, did, d, hit, names) -> pa.Table:
-    qi, slot, di, dist = hit
+    qi, slot, di, dist, rank = hit
     value = np.where(slot >= 0, d[di, np.maximum(slot, 0)], np.nan) if len(qi) else np.empty(0)
-    cols = [qid[qi], slot.astype(np.int32), did[di], dist, value]
+    cols = [qid[qi], slot.astype(np.int32), did[di], dist, value, rank.astype(np.int32)]
     return pa.table(dict(zip(names, [pa.array(c) for c in cols])))
 
 
-OUT = ("qid", "slot", "id", "dist", "value")
-OUT_SCHEMA = "qid bigint, slot int, id bigint, dist double, value double"
+OUT = ("qid", "slot", "id", "dist", "value", "rank")
+OUT_SCHEMA = "qid bigint, slot int, id bigint, dist double, value double, rank int"
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+
+
+def _numbered(queries: DataFrame, donors: DataFrame) -> DataFrame:
+    """``name, n``: a number for every id of either table, in the order of the ids."""
+    names = queries.select("id").union(donors.select("id")).where("id IS NOT NULL").distinct()
+    return cut(names.orderBy("id").select(F.col("id").alias("name"), F.monotonically_increasing_id().alias("n")))
 
 
 def nearest(
@@ -109,21 +116,30 @@ def nearest(
 ) -> DataFrame:
     """``qid, slot, id, dist, value, rank``: the k nearest donors of every query.
 
-    Both tables have ``id bigint, features array<double>`` and, when ``group`` is given, an
+    Both tables have ``id, features array<double>`` and, when ``group`` is given, an
     integer column of that name; a query then only sees donors of its own group. Ties go to
-    the smaller donor id. ``slot`` is -1 unless ``per_gap``.
+    the smaller donor id. ``slot`` is -1 unless ``per_gap``. Ids that are no whole numbers are
+    numbered in their order for the search and named again in the result.
     """
+    if dict(queries.dtypes)["id"] not in WHOLE_NUMBERS or dict(donors.dtypes)["id"] not in WHOLE_NUMBERS:
+        names = _numbered(queries, donors)
+
+        def number(df: DataFrame) -> DataFrame:
+            return df.join(names, df["id"] == names["name"]).drop("id", "name").withColumnRenamed("n", "id")
+
+        hits = nearest(number(queries), number(donors), k, group, per_gap, exclude_self, broadcast_bytes, block_rows, max_pivots)
+        asked, found = names.toDF("q_name", "q_n"), names.toDF("d_name", "d_n")
+        hits = hits.join(asked, F.col("qid") == F.col("q_n")).join(found, F.col("id") == F.col("d_n"))
+        return hits.select(F.col("q_name").alias("qid"), "slot", F.col("d_name").alias("id"), "dist", "value", "rank")
     side = [F.col("id").cast("bigint").alias("id"), "features"]
     grp = F.col(group).cast("int") if group else F.lit(0)
     queries = queries.select(*side, grp.alias("g"))
     donors = donors.select(*side, grp.alias("g"))
     n_donors, width = shape(donors)
     if n_donors == 0:
-        return queries.sparkSession.createDataFrame([], OUT_SCHEMA + ", rank int")
+        return queries.sparkSession.createDataFrame([], OUT_SCHEMA)
     if fits_broadcast(n_donors, width, broadcast_bytes):
-        hits = _by_broadcast(queries, donors, k, width, per_gap, exclude_self)
-        w = Window.partitionBy("qid", "slot").orderBy("dist", "id")
-        return hits.withColumn("rank", F.row_number().over(w))
+        return _by_broadcast(queries, donors, k, width, per_gap, exclude_self)
     return _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_rows, max_pivots)
 
 
@@ -269,4 +285,4 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
         F.when(F.coalesce("slots", F.lit(0)) < gaps, F.lit(float("inf"))).otherwise(F.col("ub")).alias("ub"),
     )
     late = search(with_reach.mapInArrow(visits(False), visit_schema))
-    return merged(early.drop("rank").unionByName(late))
+    return merged(early.unionByName(late))

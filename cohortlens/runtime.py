@@ -29,11 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for state that must outlive an executor.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; a private one is made only
-    where none is named, as in tests.
+    where none is named and everything runs in one process, as in tests. Elsewhere a folder of
+    this machine would lose state, so there that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortlens-ckpt-"))
     return sc.getCheckpointDir()
 

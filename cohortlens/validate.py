@@ -90,17 +90,20 @@ def _distance_sums(points: DataFrame, slots: list, broadcast_bytes: int, block_r
 def _squared_sums(points: DataFrame, slots: list) -> DataFrame:
     """As above for squared distances, from each slot's count, vector sum and norm sum."""
     members = points.select("features", F.inline("marks"))
-    norm = F.aggregate("features", F.lit(0.0), lambda s, v: s + v * v)
-    norms = {(r.method, r.cluster): r.t for r in members.groupBy("method", "cluster").agg(F.sum(norm).alias("t")).collect()}
     means = {(r.method, r.cluster): r.center for r in group_means(members, ("method", "cluster")).collect()}
     y = np.array([means[m, c] for m, c, _ in slots], float)
     n = np.array([s[2] for s in slots], float)
+    middle = y.mean(0)  # sums of squares are taken about it, so that large offsets cost no digits
+    y = y - middle
+    about = F.array(*[F.lit(float(v)) for v in middle])
+    norm = F.aggregate(F.zip_with("features", about, lambda v, m: (v - m) * (v - m)), F.lit(0.0), lambda s, v: s + v)
+    norms = {(r.method, r.cluster): r.t for r in members.groupBy("method", "cluster").agg(F.sum(norm).alias("t")).collect()}
     psi = np.array([norms[m, c] for m, c, _ in slots], float)
     width = y.shape[1]
 
     @F.arrow_udf("array<double>")
     def sums(v: pa.Array) -> pa.Array:
-        x = matrix(v, width)
+        x = matrix(v, width) - middle
         total = np.maximum((x * x).sum(1)[:, None] * n - 2.0 * (x @ y.T) * n + psi, 0.0)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, len(n), dtype=np.int32)), pa.array(total.ravel()))
 
@@ -194,10 +197,12 @@ def davies_bouldin(spread: DataFrame) -> DataFrame:
 def calinski_harabasz(spread: DataFrame) -> DataFrame:
     """From :func:`dispersion`: the global center is the weighted mean of the centers."""
     long = spread.select("method", "n", "inertia", "cluster", F.posexplode("center").alias("pos", "v"))
-    per = long.groupBy("method", "pos").agg(
-        F.sum(F.col("n") * F.col("v")).alias("s1"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("s2"), F.sum("n").alias("n")
-    )
-    between = per.groupBy("method").agg(F.sum(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")).alias("between"))
+    column = Window.partitionBy("method", "pos")  # as many rows as clusters
+    low = F.min("v").over(column)
+    long = long.withColumn("v", F.col("v") - low)  # small numbers: their mean keeps its digits
+    middle = F.sum(F.col("n") * F.col("v")).over(column) / F.sum("n").over(column)
+    long = long.withColumn("off", F.col("v") - middle)
+    between = long.groupBy("method").agg(F.sum(F.col("n") * F.col("off") * F.col("off")).alias("between"))
     within = spread.groupBy("method").agg(F.sum("inertia").alias("within"), F.sum("n").alias("n"), F.count("*").alias("k"))
     score = F.when(F.col("within") == 0, 1.0).otherwise(
         (F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
@@ -234,14 +239,26 @@ def external_scores(labels: DataFrame, truth: DataFrame) -> DataFrame:
     return sums.select("method", ari.alias("ari"), nmi.alias("nmi"))
 
 
-def confusion_matrix(labels: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row per true label, one column ``pred_<label>`` per label of either side."""
-    table = contingency(labels, truth)
-    names = table.select(F.col("t").alias("l")).union(table.select("p")).distinct()
-    values = sorted(r.l for r in names.collect())
-    wide = table.groupBy(F.col("t").alias("truth")).pivot("p", values).agg(F.sum("n"))
-    full = names.select(F.col("l").alias("truth")).join(wide, "truth", "left").fillna(0)
-    return full.select("truth", *[F.col(str(v)).cast("bigint").alias(f"pred_{v}") for v in values])
+def confusion_matrix(labels: DataFrame, truth: DataFrame, names: dict | None = None) -> DataFrame:
+    """One row per true label, one column ``pred_<label>`` per label of either side.
+
+    With more than one method in ``labels`` there is a matrix for each, told apart by the column
+    ``method``. ``names`` gives labels other names, in rows and columns.
+    """
+    table = contingency(labels, truth).persist()
+    seen = table.select(F.col("t").alias("l")).union(table.select("p")).distinct()
+    values = sorted(r.l for r in seen.collect())
+    methods = table.select("method").distinct()
+    wide = table.groupBy("method", F.col("t").alias("truth")).pivot("p", values).agg(F.sum("n"))
+    # every label of either side is a row of every matrix
+    rows = methods.select("method", F.explode(F.array(*[F.lit(v) for v in values])).alias("truth"))
+    full = rows.join(wide, ["method", "truth"], "left").fillna(0)
+    called = {v: (names or {}).get(v, v) for v in values}
+    shown = F.col("truth")
+    if names:
+        shown = F.coalesce(*[F.when(F.col("truth") == v, F.lit(str(n))) for v, n in called.items()])
+    columns = [F.col(str(v)).cast("bigint").alias(f"pred_{called[v]}") for v in values]
+    return full.select(*(["method"] if methods.count() > 1 else []), shown.alias("truth"), *columns)
 
 
 def compare_methods(features: DataFrame, labels: DataFrame, truth: DataFrame | None = None, **how) -> DataFrame:
