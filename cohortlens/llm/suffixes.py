@@ -141,25 +141,38 @@ def _contexts(docs: DataFrame, places: DataFrame, window: int, gram: int) -> Dat
     return rows.mapInPandas(run, "doc_id bigint, body bigint, pos int, start bigint, alike bigint, left_words binary, right_words binary")
 
 
-def _passages(left: np.ndarray, right: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the ``take`` words before and the rest of the missing words after, for each row,
-    and whether the text is that long on both sides."""
-    wide = left.shape[1]
-    words = np.concatenate([left[:, wide - take:], right[:, :wide - take]], axis=1).astype(np.uint64)
-    whole = (words > 0).all(axis=1)
-    mixed = np.full(len(words), take, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(wide):
-            mixed = _mix(mixed * _BASE + words[:, i])
-    return mixed.view(np.int64), whole
+class _Passages:
+    """Hashes of the passages round some suffixes: of any number of words before and the rest of
+    the missing ones after, put together from running hashes outward on either side."""
+
+    def __init__(self, rows: pd.DataFrame):
+        left, right = _matrix(rows["left_words"]), _matrix(rows["right_words"])
+        self.wide = left.shape[1]
+        self.before, self.after = (left > 0).sum(axis=1), (right > 0).sum(axis=1)  # words up to the text's ends
+        start = rows["start"].to_numpy().view(np.uint64)
+        self.left, self.right = [_mix(start)], [_mix(start + np.uint64(1))]
+        with np.errstate(over="ignore"):
+            for i in range(self.wide):
+                self.left.append(_mix(self.left[-1] * _BASE + left[:, self.wide - 1 - i]))
+                self.right.append(_mix(self.right[-1] * _BASE + right[:, i]))
+
+    def take(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each row's passage with so many ``words`` before, and whether its text has it."""
+        rest = self.wide - words
+        with np.errstate(over="ignore"):
+            said = _mix(self.left[words] * _BASE + self.right[rest] + np.uint64(words))
+        return said.view(np.int64), (self.before >= words) & (self.after >= rest)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), -1)
 
 
-def _compare(rows: DataFrame, wide: int) -> DataFrame:
-    """Shared passages in classes that fit a task: ``doc_id, body, at, first_id``."""
+HITS = "doc_id bigint, body bigint, start_word int, end_word int, first_id bigint"
+
+
+def _compare(rows: DataFrame, wide: int, size: int) -> DataFrame:
+    """What each suffix of a class that fits a task shares with other documents, as ``HITS``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # sorted by start: rows are gathered until a later start comes, so classes stay whole
@@ -170,59 +183,69 @@ def _compare(rows: DataFrame, wide: int) -> DataFrame:
                 continue
             pdf = pd.concat(held, ignore_index=True)
             whole = pdf["start"] != pdf["start"].iloc[-1]
-            yield of_classes(pdf[whole].reset_index(drop=True))
+            if whole.any():
+                yield of_classes(pdf[whole].reset_index(drop=True))
             held = [pdf[~whole]]
-        if held:
+        if held and any(map(len, held)):
             yield of_classes(pd.concat(held, ignore_index=True))
 
     def of_classes(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"doc_id": pd.Series([], dtype="Int64"), "body": pd.Series([], dtype="int64"), "at": pd.Series([], dtype="int32"), "first_id": pd.Series([], dtype="Int64")})]
-        if len(pdf):
-            starts, pos, body = pdf["start"].to_numpy(), pdf["pos"].to_numpy(), pdf["body"].to_numpy()
-            doc = pdf["doc_id"].astype("Int64")
-            doc_id, null = doc.fillna(0).to_numpy(np.int64), doc.isna().to_numpy()
-            left, right = _matrix(pdf["left_words"]), _matrix(pdf["right_words"])
-            for take in range(wide + 1):
-                passage, long = _passages(left, right, take)
-                order = np.lexsort((body, doc_id, null, passage, starts))
-                order = order[long[order]]
-                if len(order) < 2:
-                    continue
-                new = np.ones(len(order), bool)  # neighbours that differ begin a group
-                new[1:] = (starts[order][1:] != starts[order][:-1]) | (passage[order][1:] != passage[order][:-1])
-                group = np.cumsum(new) - 1
-                head = order[np.flatnonzero(new)]
-                tail = order[np.append(np.flatnonzero(new)[1:], len(order)) - 1]
-                differ = (doc_id[head] != doc_id[tail]) | (null[head] != null[tail]) | (body[head] != body[tail])
-                hit = order[differ[group]]
-                first = head[group[differ[group]]]
-                out.append(pd.DataFrame({"doc_id": doc.iloc[hit].to_numpy(), "body": body[hit], "at": (pos[hit] - take).astype(np.int32),
-                                         "first_id": doc.iloc[first].to_numpy()}).astype({"doc_id": "Int64", "first_id": "Int64"}))
-        return pd.concat(out, ignore_index=True)
+        doc, body, pos = pdf["doc_id"].astype("Int64"), pdf["body"].to_numpy(), pdf["pos"].to_numpy()
+        doc_id, null = doc.fillna(0).to_numpy(np.int64), doc.isna().to_numpy()
+        # documents numbered in order of their ids, nulls last
+        order = np.lexsort((body, doc_id, null))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc_id[order][1:] != doc_id[order][:-1]) | (null[order][1:] != null[order][:-1]) | (body[order][1:] != body[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        some = order[np.flatnonzero(new)]  # a row of each document
+
+        none = len(some)
+        least, most, first = np.full(len(pdf), wide + 1), np.full(len(pdf), -1), np.full(len(pdf), none)
+        passages = _Passages(pdf)
+        for words in range(wide + 1):
+            said, whole = passages.take(words)
+            order = np.flatnonzero(whole)
+            order = order[np.lexsort((number[order], said[order]))]
+            if len(order) < 2:
+                continue
+            new = np.ones(len(order), bool)  # neighbours that differ begin a group
+            new[1:] = said[order][1:] != said[order][:-1]
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(order)) - 1
+            group = np.cumsum(new) - 1
+            shared = (number[order[heads]] != number[order[tails]])[group]
+            hit = order[shared]
+            least[hit], most[hit] = np.minimum(least[hit], words), words
+            first[hit] = np.minimum(first[hit], number[order[heads]][group][shared])
+        hit = np.flatnonzero(most >= 0)
+        # all these passages hold the suffix's first words, so together they are one run
+        return pd.DataFrame({
+            "doc_id": doc.iloc[hit].to_numpy(), "body": body[hit], "start_word": (pos[hit] - most[hit]).astype(np.int32),
+            "end_word": (pos[hit] - least[hit] + size).astype(np.int32), "first_id": doc.iloc[some[first[hit]]].to_numpy()}).astype({"doc_id": "Int64", "first_id": "Int64"})
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartition(parts, "start").sortWithinPartitions("start")
-    return sorted_rows.mapInPandas(run, "doc_id bigint, body bigint, at int, first_id bigint")
+    return rows.repartition(parts, "start").sortWithinPartitions("start").mapInPandas(run, HITS)
 
 
-def _group(rows: DataFrame, wide: int) -> DataFrame:
+def _group(rows: DataFrame, wide: int, size: int) -> DataFrame:
     """The same for classes of any size: every passage is a row, grouped by what it says."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            left, right = _matrix(pdf["left_words"]), _matrix(pdf["right_words"])
-            for take in range(wide + 1):
-                passage, long = _passages(left, right, take)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "body": pdf["body"], "at": (pdf["pos"] - take).astype("int32"),
-                                    "start": pdf["start"], "passage": passage})[long]
+            passages = _Passages(pdf)
+            for words in range(wide + 1):
+                said, whole = passages.take(words)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "body": pdf["body"], "start_word": (pdf["pos"] - words).astype("int32"), "said": said})[whole]
 
-    said = staged(rows.mapInPandas(run, "doc_id bigint, body bigint, at int, start bigint, passage bigint"), "passages")
+    said = staged(rows.mapInPandas(run, "doc_id bigint, body bigint, start_word int, said bigint"), "passages")
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
-    shared = said.groupBy("start", "passage").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high")
-    shared = staged(shared.select("start", "passage", F.col("low.doc_id").alias("first_id")), "shared")
-    return said.join(shared.hint("merge"), ["start", "passage"]).select("doc_id", "body", "at", "first_id")
+    shared = said.groupBy("said").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high")
+    shared = staged(shared.select("said", F.col("low.doc_id").alias("first_id")), "shared")
+    found = said.join(shared.hint("merge"), "said")
+    return found.select("doc_id", "body", "start_word", (F.col("start_word") + size).alias("end_word"), "first_id")
 
 
 def repeated_passages(docs: DataFrame, window: int = 25, gram: int = 26) -> DataFrame:
@@ -240,23 +263,21 @@ def repeated_passages(docs: DataFrame, window: int = 25, gram: int = 26) -> Data
     common = staged(common, "common-starts")
     where = F.collect_set(F.struct("pos", "start", "alike")).alias("places")
     places = rows.join(common.hint("merge"), "start").groupBy("doc_id", "body").agg(where)
-    found = staged(_contexts(docs, places, window, gram).dropDuplicates(["doc_id", "body", "pos"]), "contexts")
-    few = _compare(found.where(F.col("alike") <= CLASS_ROWS), window - 1)
-    many = _group(found.where(F.col("alike") > CLASS_ROWS), window - 1)
-    hits = few.unionByName(many).groupBy("doc_id", "body", "at").agg(F.min("first_id").alias("first_id"))
-
-    size = window + gram - 1
+    found, size = staged(_contexts(docs, places, window, gram), "contexts"), window + gram - 1
+    few = _compare(found.where(F.col("alike") <= CLASS_ROWS), window - 1, size)
+    many = _group(found.where(F.col("alike") > CLASS_ROWS), window - 1, size)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        at = pdf["at"].to_numpy()
-        new = np.ones(len(at), bool)
-        new[1:] = at[1:] > at[:-1] + size  # runs that touch are one
+        pdf = pdf.sort_values("start_word")
+        start, reach = pdf["start_word"].to_numpy(), np.maximum.accumulate(pdf["end_word"].to_numpy())
+        new = np.ones(len(start), bool)
+        new[1:] = start[1:] > reach[:-1]  # runs that touch are one
         heads = np.flatnonzero(new)
-        ends = at[np.append(heads[1:], len(at)) - 1] + size
+        ends = reach[np.append(heads[1:], len(start)) - 1]
         first = pdf["first_id"].astype("Int64").groupby(np.cumsum(new)).min()
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[heads].to_numpy(), "start_word": at[heads], "end_word": ends, "first_id": first.to_numpy()})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[heads].to_numpy(), "start_word": start[heads], "end_word": ends, "first_id": first.to_numpy()})
 
+    hits = few.unionByName(many)
     spans = hits.groupBy("doc_id", "body").applyInPandas(merge, "doc_id bigint, start_word int, end_word int, first_id bigint")
     first = F.coalesce(F.col("first_id") == F.col("doc_id"), F.col("first_id").isNull())
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_id", first.alias("is_first"))
