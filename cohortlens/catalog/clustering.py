@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortlens import validate
 from cohortlens.catalog.base import (
-    CLUSTERS_SQL, CUST_NUM, EMB_NOISE_SQL, EMB_SQL, USERS_SQL, USER_VEC_SQL, cust_clusters, cust_features, emb, emb_noise, query, rounded, union_sql,
+    CLUSTERS_SQL, CUST_NUM, EMB_NOISE_SQL, EMB_SQL, USERS_SQL, USER_NUM, USER_VEC_SQL, cust_clusters, cust_features, emb, emb_noise, query, rounded, union_sql,
     user_model, user_unit, with_,
 )
 from cohortlens.catalog.validation import metrics_sql
@@ -105,6 +106,88 @@ def gmm_diag_posterior(spark, sf):
     return rounded(out, "probability")
 
 
+LLOYD_SQL = USER_VEC_SQL + "".join(f""",
+lm{i} AS (SELECT cluster, list(v ORDER BY pos) AS c FROM (SELECT cluster, pos, avg(v) AS v FROM
+  (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM {before}) GROUP BY cluster, pos) GROUP BY cluster),
+lp{i} AS (SELECT id, any_value(x) AS x, arg_min(cluster, struct_pack(d := list_distance(x, c), l := cluster)) AS cluster FROM user_vec, lm{i} GROUP BY id)"""
+    for i, before in ((1, "user_points"), (2, "lp1"), (3, "lp2")))
+
+
+@query("kmeans_lloyd", with_(LLOYD_SQL) + "SELECT id, cluster FROM lp3")
+def kmeans_lloyd(spark, sf):
+    """Three rounds from given centers."""
+    unit, start = user_model(spark, sf)
+    return partition.lloyd(unit, start.centers, 3).assign(unit).select("id", "cluster")
+
+
+GIVEN_VAR = 0.05
+GIVEN_MIX_SQL = USER_VEC_SQL + f""",
+gd AS (SELECT v.id, c.cluster, v.x, -0.5 * list_distance(x, c) ** 2 / {GIVEN_VAR} AS l FROM user_vec v, user_centers c),
+gt AS (SELECT id, max(l) AS top FROM gd GROUP BY id),
+gr AS (SELECT gd.id, cluster, x, exp(l - top) / sum(exp(l - top)) OVER (PARTITION BY gd.id) AS r, l, top FROM gd JOIN gt ON gt.id = gd.id),
+gl AS (SELECT id, cluster, r, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM gr),
+gm AS (SELECT cluster, pos, sum(r * v) / sum(r) AS m, sum(r) AS n FROM gl GROUP BY cluster, pos),
+gx AS (SELECT gl.*, v - m AS off, n FROM gl JOIN gm USING (cluster, pos)),
+gc AS (SELECT a.cluster, a.pos AS i, b.pos AS j, sum(a.r * a.off * b.off) / any_value(a.n) AS cov, any_value(a.n) AS n
+  FROM gx a JOIN gx b ON a.id = b.id AND a.cluster = b.cluster GROUP BY a.cluster, a.pos, b.pos)"""
+
+
+def given_mixture(spark, sf, form):
+    """The users, and a mixture at the three given centers with one variance for all."""
+    unit, start = user_model(spark, sf)
+    k, d = start.centers.shape
+    covs = {"full": np.tile(GIVEN_VAR * np.eye(d), (k, 1, 1)), "tied": GIVEN_VAR * np.eye(d), "diag": np.full((k, d), GIVEN_VAR), "spherical": np.full(k, GIVEN_VAR)}
+    return unit, mixture.MixtureModel(np.full(k, 1.0 / k), start.centers, covs[form], form)
+
+
+def covariances(spark, sf, form):
+    unit, model = given_mixture(spark, sf, form)
+    parts = mixture.em_round(unit, model).components_df(spark).select("cluster", "weight", F.posexplode("covariance").alias("p", "cov"))
+    return rounded(parts, "weight", "cov")
+
+
+EM_WEIGHT = "ROUND(n / sum(n) OVER (), 4) AS weight"
+
+
+@query("gmm_em_means", with_(GIVEN_MIX_SQL) + "SELECT cluster, CAST(pos - 1 AS INTEGER) AS p, ROUND(m, 4) AS mean FROM gm")
+def gmm_em_means(spark, sf):
+    unit, model = given_mixture(spark, sf, "diag")
+    out = mixture.em_round(unit, model).components_df(spark).select("cluster", F.posexplode("mean").alias("p", "mean"))
+    return rounded(out, "mean")
+
+
+@query("gmm_em_full", with_(GIVEN_MIX_SQL, "sh AS (SELECT cluster, n / sum(n) OVER () AS w FROM (SELECT DISTINCT cluster, n FROM gm WHERE pos = 1))")
+       + f"""SELECT cluster, ROUND(w, 4) AS weight, CAST((i - 1) * {len(USER_NUM)} + j - 1 AS INTEGER) AS p, ROUND(cov + CASE WHEN i = j THEN {mixture.REG} ELSE 0 END, 4) AS cov FROM gc JOIN sh USING (cluster)""")
+def gmm_em_full(spark, sf):
+    return covariances(spark, sf, "full")
+
+
+@query("gmm_em_diag", with_(GIVEN_MIX_SQL, "sh AS (SELECT cluster, n / sum(n) OVER () AS w FROM (SELECT DISTINCT cluster, n FROM gm WHERE pos = 1))")
+       + f"SELECT cluster, ROUND(w, 4) AS weight, CAST(i - 1 AS INTEGER) AS p, ROUND(cov + {mixture.REG}, 4) AS cov FROM gc JOIN sh USING (cluster) WHERE i = j")
+def gmm_em_diag(spark, sf):
+    return covariances(spark, sf, "diag")
+
+
+@query("gmm_em_spherical", with_(GIVEN_MIX_SQL, "sh AS (SELECT cluster, n / sum(n) OVER () AS w FROM (SELECT DISTINCT cluster, n FROM gm WHERE pos = 1))")
+       + f"SELECT cluster, ROUND(any_value(w), 4) AS weight, 0 AS p, ROUND(avg(cov) + {mixture.REG}, 4) AS cov FROM gc JOIN sh USING (cluster) WHERE i = j GROUP BY cluster")
+def gmm_em_spherical(spark, sf):
+    return covariances(spark, sf, "spherical")
+
+
+@query("gmm_em_tied", with_(GIVEN_MIX_SQL, "sh AS (SELECT cluster, n / sum(n) OVER () AS w FROM (SELECT DISTINCT cluster, n FROM gm WHERE pos = 1))",
+       f"pooled AS (SELECT i, j, sum(n * cov) / sum(n) + CASE WHEN i = j THEN {mixture.REG} ELSE 0 END AS cov FROM gc GROUP BY i, j)")
+       + f"SELECT cluster, ROUND(w, 4) AS weight, CAST((i - 1) * {len(USER_NUM)} + j - 1 AS INTEGER) AS p, ROUND(cov, 4) AS cov FROM pooled, sh")
+def gmm_em_tied(spark, sf):
+    return covariances(spark, sf, "tied")
+
+
+@query("gmm_given_bic", with_(GIVEN_MIX_SQL) + f"""SELECT ROUND(-2 * sum(ll) + {3 - 1 + 3 * len(USER_NUM) + 3} * ln(count(*)), 2) AS bic FROM (
+  SELECT id, any_value(top) + ln(sum(exp(l - top)) / 3) - {len(USER_NUM)} * 0.5 * ln(2 * pi() * {GIVEN_VAR}) AS ll FROM gr GROUP BY id)""")
+def gmm_given_bic(spark, sf):
+    unit, model = given_mixture(spark, sf, "spherical")
+    return spark.createDataFrame([(round(model.bic(unit), 2),)], "bic double")
+
+
 @query("gmm_tied_fit")
 def gmm_tied_fit(spark, sf):
     data = cust_scaled(spark, sf)

@@ -172,6 +172,11 @@ def _m_step(full: np.ndarray, d: int, form: str) -> MixtureModel:
     return MixtureModel(n / n.sum(), means, covs, form)
 
 
+def em_round(df: DataFrame, model: MixtureModel) -> MixtureModel:
+    """One round of expectation and maximisation over all rows."""
+    return _m_step(e_pass(df, [model])[0], model.means.shape[1], model.form)
+
+
 def mixtures_many(
     df: DataFrame, ks, form: str = "full", seed: int = 42, max_iter: int = 100, tol: float = 1e-3
 ) -> dict[int, tuple[MixtureModel, float, int]]:
