@@ -70,7 +70,7 @@ def hier_fit(spark, sf):
 @query("hier_merges")
 def hier_merges(spark, sf):
     data = user_unit(spark, sf)
-    merges = partition.hierarchical_fit(data, 3, "average").merges_df(spark)
+    merges = partition.hierarchical_fit(data, 3, "average", max_micro=512).merges_df(spark)
     return rounded(partition.dendrogram(merges), "distance")
 
 

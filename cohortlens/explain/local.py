@@ -131,11 +131,10 @@ def local_lime(
     """
     width, parts = len(names), []
     parallel = df.sparkSession.sparkContext.defaultParallelism
+    bins = lime_bins(df, width)
     for rows, tree in _folds(df, names, folds, seed, max_depth):
-        bins = lime_bins(df, width)
-
         # sampling is costly per row: small tasks, however few files the input has
-        tasks = int(min(max(parallel, -(-rows.count() // rows_per_task)), 100_000))
+        tasks = int(max(parallel, -(-rows.count() // rows_per_task)))
         spread = rows.repartition(tasks, "id")
         scored = spread.withColumn("w", lime_column(tree, bins, n_samples)("features", tree.class_index(), F.xxhash64("id", F.lit(seed))))
         table = F.array(*[F.array(*[F.lit(float(p)) for p in row]) for row in tree.probabilities])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import combinations
 from math import factorial
 
 import numpy as np
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.blocks import matrix
 
-MAX_SHAP_DEPTH = 10
 RELIABLE, CAUTION = 0.80, 0.65
 SPLIT = re.compile(r"If \(feature (\d+) <= ([-+.\dEe]+|[-+]?Infinity)\)")
 
@@ -99,48 +97,51 @@ class SurrogateTree:
         return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "conditions string, predicted_class string, samples bigint, depth int, rank int")
 
     def shap_tables(self) -> list[tuple[list, np.ndarray]]:
-        """Per leaf: the merged tests ``(feature, low, high)`` of its path and, per set of
-        passed tests, the Shapley value of every path feature for a leaf value of 1.
-
-        The game of one leaf is a product: a known feature contributes whether it passes,
-        an unknown one the share of training rows its tests let through.
-        """
+        """Per leaf: the merged tests ``(feature, low, high)`` of its path, one for each distinct
+        feature, and the share of training rows that each lets through."""
         out = []
         for leaf in self.leaves:
-            if len(leaf.path) > MAX_SHAP_DEPTH:
-                raise ValueError(f"exact Shapley tables need depth <= {MAX_SHAP_DEPTH}")
             merged: dict[int, list] = {}
             for f, t, is_left, node in leaf.path:
                 low, high, share = merged.get(f, [-np.inf, np.inf, 1.0])
                 child = self.left[node] if is_left else self.right[node]
                 share *= self.cover[child] / max(self.cover[node], 1)
                 merged[f] = [low, min(high, t), share] if is_left else [max(low, t), high, share]
-            feats = list(merged)
-            m = len(feats)
-            share = np.array([merged[f][2] for f in feats])
-            table = np.zeros((1 << m, m))
-            for mask in range(1 << m):
-                passed = np.array([(mask >> i) & 1 for i in range(m)], float)
-                for i in range(m):
-                    rest = [j for j in range(m) if j != i]
-                    for size in range(m):
-                        weight = factorial(size) * factorial(m - size - 1) / factorial(m)
-                        for known in combinations(rest, size):
-                            others = np.prod([passed[j] if j in known else share[j] for j in rest])
-                            table[mask, i] += weight * others * (passed[i] - share[i])
-            out.append(([(f, merged[f][0], merged[f][1]) for f in feats], table))
+            out.append(([(f, low, high) for f, (low, high, _) in merged.items()], np.array([m[2] for m in merged.values()])))
         return out
 
 
+def leaf_shapley(passed: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of the tests of one leaf (of value 1), for each row of ``passed`` tests.
+
+    The game is a product: a known feature contributes whether it passes, an unknown one the share
+    of rows its test lets through. The sum over all sets of known features of one size is a
+    coefficient of the product of ``share + passed * z`` over the other features, so the work
+    grows with the cube of the number of features, not with the number of their sets.
+    """
+    n, m = passed.shape
+    size_weights = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
+    out = np.zeros((n, m))
+    for i in range(m):
+        sets = np.zeros((n, m))
+        sets[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                sets = sets * share[j] + np.pad(sets[:, :-1], ((0, 0), (1, 0))) * passed[:, j, None]
+        out[:, i] = sets @ size_weights * (passed[:, i] - share[i])
+    return out
+
+
 def shap_rows(tree: SurrogateTree, tables: list, x: np.ndarray, cls: np.ndarray | None) -> np.ndarray:
     """Shapley values: rows x features for one class per row, or x classes for all."""
     p = tree.probabilities
     out = np.zeros((len(x), len(tree.names)) if cls is not None else (len(x), len(tree.names), len(tree.classes)))
-    for leaf, (tests, table) in enumerate(tables):
-        mask = np.zeros(len(x), int)
-        for i, (f, low, high) in enumerate(tests):
-            mask |= ((x[:, f] > low) & (x[:, f] <= high)).astype(int) << i
-        phi = table[mask]
+    for leaf, (tests, share) in enumerate(tables):
+        if not tests or not len(x):
+            continue
+        passed = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high in tests], axis=1).astype(float)
+        kinds, which = np.unique(passed, axis=0, return_inverse=True)  # few: rows pass alike
+        phi = leaf_shapley(kinds, share)[which.reshape(-1)]
         for i, (f, _, _) in enumerate(tests):
             if cls is None:
                 out[:, f, :] += phi[:, i, None] * p[leaf][None, :]

@@ -153,15 +153,21 @@ def encode_binary(name: str, low, high) -> Column:
 
 
 def fit_categories(df: DataFrame, cols: Sequence[str], max_categories: int = 10_000) -> dict[str, list[str]]:
-    """Sorted categories per nominal column; gaps are the category ``__missing__``."""
+    """Sorted categories per nominal column; gaps are the category ``__missing__``.
+
+    Each category becomes a column, so a column with more than ``max_categories`` is refused: it
+    is no nominal feature. Categories are counted on Spark before any is collected.
+    """
     if not cols:
         return {}
     filled = df.select(*[F.coalesce(F.col(c), F.lit(MISSING_LEVEL)).alias(c) for c in cols])
     pairs = filled.unpivot([], list(cols), "feature", "value").distinct()
-    limit = max_categories * len(cols)
-    rows = pairs.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {max_categories} categories per nominal column")
+    pairs = pairs.persist()
+    wide = pairs.groupBy("feature").count().where(F.col("count") > max_categories).collect()
+    if wide:
+        raise ValueError(f"more than {max_categories} categories in {sorted(r.feature for r in wide)}")
+    rows = pairs.collect()
+    pairs.unpersist()
     return {c: sorted(r.value for r in rows if r.feature == c) for c in cols}
 
 

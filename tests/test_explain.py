@@ -143,3 +143,11 @@ def test_profiles_and_contrast(spark, mixed):
             v = x[y == c, i]
             assert (stats[c, n].mean, stats[c, n].median, stats[c, n].std) == pytest.approx((v.mean(), np.median(v), v.std(ddof=1)))
             assert con[c, n].effect_size == pytest.approx((v.mean() - x[:, i].mean()) / x[:, i].std(ddof=1))
+
+
+def test_leaf_shapley_with_many_features():
+    """As many features as sets of them could not be listed: the values still add up."""
+    rng = np.random.default_rng(0)
+    share, passed = rng.uniform(0.1, 0.9, 24), (rng.random((5, 24)) < 0.7).astype(float)
+    got = tree.leaf_shapley(passed, share)
+    assert np.allclose(got.sum(1), passed.prod(1) - share.prod())

@@ -105,3 +105,22 @@ def test_counterfactuals_for_other_models(spark, blobs):
             assert all(r.predicted_cluster == r.target_cluster for r in rows if r.success)
     means = cfx.by_means(points)
     assert set(means.labels) == {0, 1, 2}
+
+
+@pytest.mark.parametrize("how", [{"driver_clusters": 30}, {"driver_clusters": 80, "broadcast_bytes": 0, "block_rows": 64}])
+def test_ward_is_the_same_wherever_it_is_merged(spark, blobs, how):
+    x, _ = blobs
+    x = np.concatenate([x, x[:5]])  # with equal rows
+    df = frame(spark, x)
+    whole, rounds = partition.hierarchical_fit(df, 4), partition.hierarchical_fit(df, 4, **how)
+    assert rounds.early is not None and whole.early is None
+    heights = [sorted(r.distance for r in m.heights(spark).collect()) for m in (whole, rounds)]
+    assert np.allclose(*heights, atol=1e-6)
+    a, b = ({r.id: r.cluster for r in m.assign(df).collect()} for m in (whole, rounds))
+    assert len(set(zip(a.values(), (b[i] for i in a)))) == 4
+
+
+def test_other_linkages_ask_for_micro_clusters(spark, blob_df):
+    with pytest.raises(ValueError, match="max_micro"):
+        partition.hierarchical_fit(blob_df, 3, "single", driver_clusters=50)
+    assert len(partition.hierarchical_fit(blob_df, 3, "single", max_micro=50).labels) == 3
