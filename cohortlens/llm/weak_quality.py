@@ -29,7 +29,7 @@ MOST_WRONG = 0.02
 
 
 def _length(m: rules.Measure, text: str) -> int:
-    return 1 if m.n_words >= 50 else -1 if m.n_words < 3 else 0
+    return 1 if m.n_words >= 50 else -1 if m.n_words == 0 else 0
 
 
 def _repetition(m: rules.Measure, text: str) -> int:
