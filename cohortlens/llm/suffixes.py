@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import WORD, staged, text_or_empty
@@ -267,17 +267,13 @@ def repeated_passages(docs: DataFrame, window: int = 25, gram: int = 26) -> Data
     few = _compare(found.where(F.col("alike") <= CLASS_ROWS), window - 1, size)
     many = _group(found.where(F.col("alike") > CLASS_ROWS), window - 1, size)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_word")
-        start, reach = pdf["start_word"].to_numpy(), np.maximum.accumulate(pdf["end_word"].to_numpy())
-        new = np.ones(len(start), bool)
-        new[1:] = start[1:] > reach[:-1]  # runs that touch are one
-        heads = np.flatnonzero(new)
-        ends = reach[np.append(heads[1:], len(start)) - 1]
-        first = pdf["first_id"].astype("Int64").groupby(np.cumsum(new)).min()
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").iloc[heads].to_numpy(), "start_word": start[heads], "end_word": ends, "first_id": first.to_numpy()})
-
+    # runs that touch are one: a run starts where no earlier one of its document reaches
     hits = few.unionByName(many)
-    spans = hits.groupBy("doc_id", "body").applyInPandas(merge, "doc_id bigint, start_word int, end_word int, first_id bigint")
+    document = Window.partitionBy("doc_id", "body").orderBy("start_word", "end_word")
+    reach = F.max("end_word").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    marked = hits.withColumn("new", F.coalesce(F.col("start_word") > reach, F.lit(True)).cast("int"))
+    marked = marked.withColumn("run", F.sum("new").over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy("doc_id", "body", "run").agg(
+        F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_id").alias("first_id"))
     first = F.coalesce(F.col("first_id") == F.col("doc_id"), F.col("first_id").isNull())
     return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_id", first.alias("is_first"))
