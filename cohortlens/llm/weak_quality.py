@@ -10,8 +10,9 @@ label texts for a hashed linear model.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import linear, rules
 from cohortlens.llm.common import staged, text_or_empty
-from cohortlens.llm.linear import HashedLinear, hashed, word_features
+from cohortlens.llm.linear import HASH_BITS, HashedLinear, hashed
 
 #: Texts the linear model learns from, at most: those with the smallest hash of id and text.
 MAX_TRAIN = 20_000
@@ -76,11 +77,14 @@ LABELLERS: dict[str, Callable[[rules.Measure, str], int]] = {
 }
 
 
+def _pattern(m: rules.Measure, text: str) -> str:
+    return "".join("012"[f(m, text) + 1] for f in LABELLERS.values())
+
+
 def pattern_of(text: str) -> Column:
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        measured = ((rules.measure(t), t or "") for t in texts)
-        return pd.Series(["".join("012"[f(m, t) + 1] for f in LABELLERS.values()) for m, t in measured], dtype=object)
+        return pd.Series([_pattern(rules.measure(t), t or "") for t in texts], dtype=object)
 
     return of(F.col(text))
 
@@ -141,28 +145,29 @@ def estimate(votes: np.ndarray, counts: np.ndarray, most_wrong: float = MOST_WRO
     return at
 
 
-def featurizer() -> Callable[[str], Iterable[int]]:
-    """From a text to hashed features: its distinct words, and how symbols, digits, capitals, stops,
-    lengths, repeated words and lines stand in it, each in steps."""
-    known: dict[str, list[int]] = {}
+_MASK = (1 << HASH_BITS) - 1
 
-    def of(text: str) -> set[int]:
-        m = rules.measure(text)
-        ids = word_features((w.decode().lower() for w in m.words), known)
-        n, chars = max(1, m.n_words), rules.class_counts(text)
-        total = max(1, int(chars.sum()))
-        shape = {"words": m.n_words.bit_length(), "mean": min(30, m.word_chars // n), "variety": int(10 * len(m.words) / n ** 0.8),
-                 "repeat": 10 * m.n_repeat_words // n, "lines": 10 * m.n_dup_lines // (text.count("\n") + 1), "symbols": min(20, 100 * m.n_symbols // total)}
-        shape |= {c: min(40, 40 * int(k) // total) for c, k in zip(rules.CLASSES, chars)}
-        return ids | {hashed(f"{k}={v}") for k, v in shape.items()}
 
-    return of
+def features(m: rules.Measure, text: str) -> set[int]:
+    """Hashed features: the distinct words (ASCII in lower case) and their first four and five bytes,
+    and how symbols, digits, capitals, stops, lengths, repeated words and lines stand, in steps."""
+    words = {w.lower() for w in m.words}
+    ids = {crc32(w) & _MASK for w in words}
+    for size in (4, 5):
+        ids |= {crc32(w[:size], size) & _MASK for w in words if len(w) > size}
+    n, chars = max(1, m.n_words), rules.class_counts(text)
+    total = max(1, int(chars.sum()))
+    shape = {"words": m.n_words.bit_length(), "mean": min(30, m.word_chars // n), "variety": int(10 * len(m.words) / n ** 0.8),
+             "repeat": 10 * m.n_repeat_words // n, "lines": 10 * m.n_dup_lines // (text.count("\n") + 1), "symbols": min(20, 100 * m.n_symbols // total)}
+    shape |= {c: min(40, 40 * int(k) // total) for c, k in zip(rules.CLASSES, chars)}
+    return ids | {hashed(f"{k}={v}") for k, v in shape.items()}
 
 
 @dataclass
 class QualityModel:
     accuracies: Accuracies
     scorer: HashedLinear
+    posteriors: DataFrame  # pattern, posterior
 
 
 def fit(docs: DataFrame, voted: DataFrame, max_train: int = MAX_TRAIN) -> QualityModel:
@@ -185,13 +190,13 @@ def fit(docs: DataFrame, voted: DataFrame, max_train: int = MAX_TRAIN) -> Qualit
     rows = rows.join(F.broadcast(chosen), rows["doc_id"].eqNullSafe(chosen["id"]) & (rows["body"] == chosen["b"]))
 
     def examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = featurizer()
         for pdf in frames:
-            out = pd.DataFrame({"ids": [sorted(features(t or "")) for t in pdf["text"]], "y": pdf["y"].astype(float)})
+            out = pd.DataFrame({"ids": [sorted(features(rules.measure(t), t or "")) for t in pdf["text"]], "y": pdf["y"].astype(float)})
             yield out.assign(signs=None, weight=1.0)[["ids", "signs", "y", "weight"]]
 
     training = rows.select("text", "y").mapInPandas(examples, "ids array<int>, signs array<float>, y double, weight double")
-    return QualityModel(accuracies, linear.fit(staged(training, "quality-training")))
+    scorer = linear.fit(staged(training, "quality-training"))
+    return QualityModel(accuracies, scorer, soft.withColumnRenamed("y", "posterior"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -203,11 +208,17 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     voted = staged(votes(docs), "votes")
     model = fit(docs, voted)
-    a = model.accuracies
-
-    @F.pandas_udf("double")
-    def posterior(patterns: pd.Series) -> pd.Series:
-        return pd.Series(a.posterior(np.array([[int(c) - 1 for c in p] for p in patterns], float).reshape(len(patterns), len(LABELLERS))))
-
-    rows = docs.select("doc_id", pattern_of("text").alias("pattern"), model.scorer.score(featurizer).alias("score"))
-    return rows.select("doc_id", "pattern", posterior("pattern").alias("posterior"), "score", (F.col("score") >= 0.5).alias("kept"))
+    weights, bias = model.scorer.weights, model.scorer.bias
+
+    @F.pandas_udf("pattern string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        patterns, margins = [], []
+        for t in texts:
+            m = rules.measure(t)
+            patterns.append(_pattern(m, t or ""))
+            margins.append(bias + float(weights[np.sort(np.fromiter(features(m, t or ""), np.int64))].sum()))
+        return pd.DataFrame({"pattern": patterns, "score": 1 / (1 + np.exp(-np.clip(np.array(margins, float), -60, 60)))})
+
+    rows = docs.select("doc_id", judge("text").alias("j")).select("doc_id", "j.pattern", "j.score")
+    rows = rows.join(F.broadcast(model.posteriors), "pattern", "left")  # at most 3 ** 8 patterns
+    return rows.select("doc_id", "pattern", "posterior", "score", (F.col("score") >= 0.5).alias("kept"))

@@ -19,7 +19,9 @@ def test_em_finds_accuracies():
     assert np.allclose(got.right_on_good(), 1 - says_bad[0], atol=0.01)
     assert np.allclose(got.right_on_bad(), (2 * says_bad[1] + says_bad[2]) / 3, atol=0.1)
     right = np.mean((got.posterior(votes.astype(float)) > 0.5) == (kind == 0))
-    assert right > 0.95 and right > np.mean((votes.sum(axis=1) > 0) == (kind == 0)) + 0.1
+    # as good as with the true accuracies, and better than the majority of votes
+    best = np.mean((wq.Accuracies(np.array([0.7, 0.2, 0.1]), says_bad).posterior(votes.astype(float)) > 0.5) == (kind == 0))
+    assert right > best - 0.005 and right > np.mean((votes.sum(axis=1) > 0) == (kind == 0)) + 0.1
 
 
 def test_faults_that_one_heuristic_sees():
