@@ -1,10 +1,11 @@
 """Quality rules: base counts of a text, and its distance from what its language looks like.
 
-Every language has two reference histograms, over all its documents of ``MIN_WORDS`` words or more:
-characters by class, and its common words (those that are at least ``COMMON_SHARE`` of its words)
-with all others in one bin. A document fails if the Jensen-Shannon distance of one of its own
-histograms from the reference is over the limit. Short texts scatter, so a histogram needs a least
-length, and the limit is raised by the divergence that sampling alone would cause.
+Every language of ``MIN_REFERENCE`` words or more has two reference histograms of its own, over all
+its texts: characters by class, and its common words (those that are at least ``COMMON_SHARE`` of
+its words) with all others in one bin. A document fails if the Jensen-Shannon distance of one of its
+own histograms from the reference is over the limit. Short texts scatter, so a histogram needs a
+least length, and the limit is raised by the divergence that sampling alone would cause. Documents
+of smaller languages are compared with nothing.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 
-#: Least words of a text for a reference, and for its words to be compared.
+#: Least words of a text for its words to be compared.
 MIN_WORDS = 100
+#: Least words of a language for it to have a reference.
+MIN_REFERENCE = 1_000
 #: Least characters in words for the classes to be compared.
 MIN_CHARS = 200
 #: A language's words with at least this share of them are common: at most 1,000 a language.
 COMMON_SHARE = 0.001
-#: Languages with a smaller share of all words share one reference: at most 1,000 have their own.
+#: References of languages with this share of all words or rows (at most 2,000) go to every task; those of smaller ones
+#: are joined with their rows.
 LANGUAGE_SHARE = 0.001
 #: Largest Jensen-Shannon divergence (base 2) from the reference, of classes and of words.
 CHAR_LIMIT, WORD_LIMIT = 0.10, 0.22
@@ -112,12 +116,15 @@ class Reference:
     words: dict[bytes, int]
     word_counts: np.ndarray  # one for each of words, then all others
 
+    @classmethod
+    def of(cls, n: int, classes: list[int], words: list[bytes], counts: list[int]) -> Reference:
+        others = n - sum(counts)
+        return cls(np.array(classes, float), {bytes(w): i for i, w in enumerate(words)}, np.array([*counts, others], float))
 
-def references(docs: DataFrame) -> dict[str | None, Reference]:
-    """Histograms of each language, and under None those of all other languages together.
 
-    Words are counted in tasks and summed by a shuffle; only common words come to the driver.
-    """
+def word_sums(docs: DataFrame) -> DataFrame:
+    """``lang, kind, token, n``: occurrences of each word and character class by language, and its
+    words and rows in total. Counted in tasks and summed by a shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -131,10 +138,8 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
             for lang, text in zip(pdf["lang"], pdf["text"]):
                 lang, text = lang or "", text or ""
                 words = Counter(text.encode().split())
-                n = words.total()
-                if n < MIN_WORDS:
-                    continue
-                counts[lang, "total", b""] += n
+                counts[lang, "rows", b""] += 1
+                counts[lang, "total", b""] += words.total()
                 for w, times in words.items():
                     counts[lang, "word", w] += times
                 for c, times in zip(CLASSES, class_counts(text).tolist()):
@@ -144,28 +149,44 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
         yield rows()
 
     parts = docs.select("lang", "text").mapInPandas(run, "lang string, kind string, token binary, n bigint")
-    sums = staged(parts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")), "word-counts")
-    total = sums.where("kind = 'total'")
-    everything = total.agg(F.sum("n")).first()[0] or 0
-    own = {r.lang: r.n for r in total.where(F.col("n") >= LANGUAGE_SHARE * everything).collect()}
-
-    named = F.col("lang").isin(list(own)) if own else F.lit(False)
-    pooled = sums.withColumn("lang", F.when(named, F.col("lang"))).groupBy("lang", "kind", "token").agg(F.sum("n").alias("n"))
-    pool = everything - sum(own.values())
-    floor = F.lit(COMMON_SHARE * pool)
-    for lang, n in own.items():
-        floor = F.when(F.col("lang") == lang, COMMON_SHARE * n).otherwise(floor)
-    found: dict[str | None, Reference] = {}
-    for r in pooled.where((F.col("kind") != "total") & ((F.col("kind") == "class") | (F.col("n") >= floor))).orderBy("lang", "kind", "token").collect():
-        ref = found.setdefault(r.lang, Reference(np.zeros(len(CLASSES)), {}, np.zeros(0)))
-        if r.kind == "class":
-            ref.chars[CLASSES.index(bytes(r.token).decode())] = r.n
-        else:
-            ref.words[bytes(r.token)] = len(ref.words)
-            ref.word_counts = np.append(ref.word_counts, r.n)
-    for lang, ref in found.items():
-        ref.word_counts = np.append(ref.word_counts, own.get(lang, pool) - ref.word_counts.sum())
-    return found
+    return staged(parts.groupBy("lang", "kind", "token").agg(F.sum("n").alias("n")), "word-counts")
+
+
+#: A reference as a row: the language's words, its classes as in ``CLASSES``, its common words and their counts.
+REFERENCE = "lang string, total bigint, classes array<bigint>, words array<binary>, counts array<bigint>"
+
+
+def _reference_rows(sums: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row as in ``REFERENCE`` for each language of ``sums``; ``totals`` has all of them."""
+    common = sums.join(totals, "lang").where((F.col("kind") == "class") | ((F.col("kind") == "word") & (F.col("n") >= COMMON_SHARE * F.col("total"))))
+    classes = [F.coalesce(F.sum(F.when((F.col("kind") == "class") & (F.col("token") == F.lit(c).cast("binary")), F.col("n"))), F.lit(0)) for c in CLASSES]
+    words = F.sort_array(F.collect_list(F.when(F.col("kind") == "word", F.struct("token", "n"))))  # at most 1,000
+    found = common.groupBy("lang").agg(F.first("total").alias("total"), F.array(*classes).alias("classes"), words.alias("w"))
+    return found.select("lang", "total", "classes", F.col("w.token").alias("words"), F.col("w.n").alias("counts"))
+
+
+def references(docs: DataFrame) -> tuple[list[str], dict[str, Reference], DataFrame | None]:
+    """The large languages (by words or rows, see ``LANGUAGE_SHARE``), the references of those that
+    have one, and a table as in ``REFERENCE`` of the others' (None if none of them has one).
+
+    Of words only the common ones of large languages come to the driver.
+    """
+    sums = word_sums(docs)
+    totals = sums.where("kind IN ('total', 'rows')").groupBy("lang").pivot("kind", ["total", "rows"]).agg(F.sum("n"))
+    every = totals.agg(F.sum("total").alias("total"), F.sum("rows").alias("rows")).first()
+    if not every.rows:
+        return [], {}, None
+    is_large = (F.col("total") >= LANGUAGE_SHARE * every.total) | (F.col("rows") >= LANGUAGE_SHARE * every.rows)
+    large = totals.where(is_large).collect()
+    names, enough = [r.lang for r in large], [(r.lang, r.total) for r in large if r.total >= MIN_REFERENCE]
+    own = sums.sparkSession.createDataFrame(enough, "lang string, total bigint")
+    rows = _reference_rows(sums, F.broadcast(own)).collect() if enough else []
+    found = {r.lang: Reference.of(r.total, r.classes, r.words, r.counts) for r in rows}
+    small = totals.where(~is_large & (F.col("total") >= MIN_REFERENCE)).select("lang", "total")
+    if not small.limit(1).count():
+        return names, found, None
+    # a large language's words would all meet in one task of the join
+    return names, found, staged(_reference_rows(sums.where(~F.col("lang").isin(names)), small), "references")
 
 
 def distances(text: str, m: Measure, ref: Reference | None) -> tuple[float | None, float | None, bool]:
@@ -177,7 +198,7 @@ def distances(text: str, m: Measure, ref: Reference | None) -> tuple[float | Non
         return chars, words, fine
 
     def scatter(bins: np.ndarray, n: int) -> float:
-        return (np.count_nonzero(bins) - 1) / (8 * n * math.log(2))
+        return (np.count_nonzero(bins) - 1) / (8 * math.log(2)) * (1 / n + 1 / bins.sum())
 
     if m.word_chars >= MIN_CHARS and ref.chars.sum():
         own = class_counts(text)
@@ -198,26 +219,54 @@ RESULT = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n
           "base_failed boolean, kept boolean, char_divergence double, word_divergence double")
 
 
+def _verdict(doc: int | None, text: str | None, ref: Reference | None) -> tuple:
+    m = measure(text)
+    failed = m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words
+    chars, words, fine = distances(text or "", m, ref)
+    return doc, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, not failed and fine, chars, words
+
+
+def _results(out: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "char_divergence": float, "word_divergence": float})
+
+
+def _judged_small(docs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The verdicts of rows in small languages: each task gets its languages one after another, of
+    each the reference first, so that it holds one reference and no language as a whole."""
+    rows = docs.withColumn("is_doc", F.lit(True)).unionByName(refs.withColumn("is_doc", F.lit(False)), allowMissingColumns=True)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, ref = None, None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if not r.is_doc:
+                    current, ref = r.lang, Reference.of(r.total, r.classes, r.words, r.counts)
+                else:
+                    out.append(_verdict(None if pd.isna(r.doc_id) else int(r.doc_id), r.text, ref if r.lang == current else None))
+            yield _results(out)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "lang").sortWithinPartitions("lang", "is_doc").mapInPandas(run, RESULT)
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """The base counts and the verdict of every row of ``docs``, as in ``RESULT``.
 
-    A null text has no words and fails; a null language is one of its own. Other columns are
-    ignored; repeated rows appear each; an empty table gives an empty one.
+    A null text has no words and fails; a null language is one of its own, the same as ''. Other
+    columns are ignored; repeated rows appear each; an empty table gives an empty one.
     """
-    refs = references(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(refs)  # at most 1,001 languages of 1,000 words
+    docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
+    names, found, small = references(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(found)  # at most 2,000 languages of 1,000 words
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         refs = shared.value
         for pdf in frames:
-            out = []
-            for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"]):
-                m = measure(text)
-                failed = m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words
-                lang = lang or ""
-                chars, words, fine = distances(text or "", m, refs.get(lang, refs.get(None)))
-                out.append((doc, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed, not failed and fine, chars, words))
-            names = [c.split()[0] for c in RESULT.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "char_divergence": float, "word_divergence": float})
-
-    return docs.select("doc_id", "lang", "text").mapInPandas(run, RESULT)
+            yield _results([_verdict(doc, text, refs.get(lang)) for doc, lang, text in zip(pdf["doc_id"], pdf["lang"], pdf["text"])])
+
+    if small is None:
+        return docs.mapInPandas(run, RESULT)
+    large = F.col("lang").isin(names)
+    return docs.where(large).mapInPandas(run, RESULT).unionByName(_judged_small(docs.where(~large), small))

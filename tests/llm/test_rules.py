@@ -65,6 +65,33 @@ def test_verdicts(documents):
     assert short and all(r.word_divergence is None for r in short)
 
 
+CYRILLIC, GREEK = "оеаинтсрвл", "αοιετσνηυρ"
+
+
+def script(rng, n, letters):
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(40)]
+    return lambda: " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.mark.parametrize("share", [0.001, 0.3])  # 0.3: all but en are small
+def test_every_language_has_its_own_reference(documents, monkeypatch, share):
+    monkeypatch.setattr(rules, "LANGUAGE_SHARE", share)
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 200), "en") for i in range(200)]
+    latin, cyrillic, greek = script(rng, 150, "etaoinshr"), script(rng, 150, CYRILLIC), script(rng, 60, GREEK)
+    rows += [(1000 + i, latin(), "la") for i in range(40)] + [(2000 + i, cyrillic(), "cy") for i in range(12)]
+    rows += [(3000 + i, greek(), "gr") for i in range(30)]  # short texts only
+    rows += [(4000, script(rng, 120, GREEK)(), "few")]  # too few words for a reference
+    odd = [(5000, " ".join(str(rng.randrange(10**6)) for _ in range(150)), "cy"), (5001, latin(), "gr"), (5002, cyrillic(), "la")]
+    got = {r.doc_id: r for r in rules.judged(documents(rows + odd)).collect()}
+    assert len(got) == len(rows + odd)
+    for i, *_ in rows:
+        assert got[i].kept == (not got[i].base_failed), i
+    assert all(got[i].char_divergence < 0.1 for i, *_ in rows if i < 4000 and got[i].word_chars >= rules.MIN_CHARS)
+    assert got[4000].char_divergence is None and got[4000].word_divergence is None
+    assert all(got[i].char_divergence > rules.CHAR_LIMIT and not got[i].kept for i, *_ in odd)
+
+
 def test_repeat_words_with_many_distinct():
     rng = np.random.default_rng(0)
     codes = rng.integers(0, 40, 2000)
