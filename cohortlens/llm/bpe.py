@@ -4,7 +4,8 @@
    in blocks of about ``BLOCK_BYTES``. Of a block, one row per text holds the positions (numbers of
    the block's distinct words in order), and one row per bucket of a hash holds the distinct words
    themselves. Both are made from the texts when they are shuffled; a block is named by a hash of
-   its texts, so that the two always fit each other.
+   its texts, its partition and its number there, so that the two always fit each other and equal
+   blocks stay apart.
 2. *Encode.* The words are dealt out by bucket, so that equal words of all blocks meet, each is
    encoded once, and every block gets the ids of its words back.
 3. *Reassemble.* By block, ids are put where the positions name them.
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,9 +132,9 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 class _Block:
     """The texts of a block as positions in its distinct words, which are in order of bucket and
-    then of bytes; ``key`` names the block by its texts."""
+    then of bytes; ``key`` names the block by its texts and its ``place``: partition and number there."""
 
-    def __init__(self, batches: list[pa.RecordBatch], text: str):
+    def __init__(self, batches: list[pa.RecordBatch], text: str, place: tuple[int, int]):
         self.table = pa.Table.from_batches(batches)
         flat, self.starts = words_of(self.table.column(text).combine_chunks())
         coded = flat.dictionary_encode()
@@ -141,10 +143,11 @@ class _Block:
         order = sorted(range(len(words)), key=words.__getitem__)
         order.sort(key=buckets.__getitem__)  # stable: by bucket, then by bytes
         self.words, self.buckets = [words[i] for i in order], np.array([buckets[i] for i in order], np.int32)
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        self.places = place[np.asarray(coded.indices)] if words else np.zeros(0, np.uint32)
-        key = xxhash.xxh64(self.starts.tobytes())
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        self.places = rank[np.asarray(coded.indices)] if words else np.zeros(0, np.uint32)
+        key = xxhash.xxh64(np.array(place, np.int64).tobytes())
+        key.update(self.starts.tobytes())
         key.update(self.places.tobytes())
         key.update(b"\0".join(self.words))
         self.key = int.from_bytes(key.digest(), "big", signed=True)
@@ -160,7 +163,7 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[_Block]:
-    held, size = [], 0
+    held, size, partition, number = [], 0, TaskContext.get().partitionId(), 0
     for batch in batches:
         step = max(1, batch.num_rows * BLOCK_BYTES // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, step):
@@ -168,10 +171,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[_Block]:
             held.append(part)
             size += part.nbytes
             if size >= BLOCK_BYTES:
-                yield _Block(held, text)
-                held, size = [], 0
+                yield _Block(held, text, (partition, number))
+                held, size, number = [], 0, number + 1
     if held:
-        yield _Block(held, text)
+        yield _Block(held, text, (partition, number))
 
 
 def split_words(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -257,7 +260,7 @@ def _reassembled(docs: DataFrame, ranks: Ranks, text: str, keep: list[str], made
 
     def rebuild(texts: pa.Table, dealt: pa.Table) -> pa.Table:
         out = to_arrow_schema(schema)
-        parts = dict(zip(dealt.column("bucket").to_pylist(), dealt.column("packed").to_pylist()))  # equal blocks have equal parts
+        parts = dict(zip(dealt.column("bucket").to_pylist(), dealt.column("packed").to_pylist()))
         unpacked = [_unpack(parts[b])[0] for b in sorted(parts)]
         lengths = np.concatenate([np.zeros(0, np.uint32), *[u[0] for u in unpacked]]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *[u[1] for u in unpacked]])

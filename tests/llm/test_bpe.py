@@ -83,3 +83,13 @@ def test_equal_blocks_and_unstable_texts(ranks, spark, monkeypatch):
     shifting = df.withColumn("text", other.asNondeterministic()("text"))
     with pytest.raises(Exception, match="write them to a table first"):
         bpe.encode(shifting, ranks, keep=["doc_id"]).collect()
+
+
+def test_equal_blocks_are_groups_of_their_own(ranks, spark):
+    text = "one two three four " * 50_000
+    df = spark.range(0, 80, 1, 2).selectExpr("CAST(null AS bigint) doc_id", "repeat('one two three four ', 50000) text")  # ids alike too
+    positions, words = bpe.split_positions(df, "text", ["doc_id"]), bpe.split_words(df, "text", ["doc_id"])
+    sizes = {r.block: r["count"] for r in positions.groupBy("block").count().collect()}
+    assert sum(sizes.values()) == 80 and max(sizes.values()) * len(text) < 2 * bpe.BLOCK_BYTES + len(text)
+    assert sizes.keys() == {r.block for r in words.select("block").distinct().collect()}
+    assert [tuple(r) for r in bpe.round_trip(df, ranks).distinct().collect()] == [(None, *want(ranks, text))]
