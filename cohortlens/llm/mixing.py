@@ -2,7 +2,7 @@
 
 Documents fall into cells of source, language and topic. The token weights of the cells are raked
 until their sums by source, by language and by topic meet the targets; a document is then kept with
-its cell's probability, by a hash of its id, so the sample is the same on every run.
+its cell's probability, by a hash of its id and text, so the sample is the same on every run.
 
 A margin names its categories; all others together are one. So there are only as many cells as the
 targets allow, whatever the data holds: their sums are small, are raked on the driver, and are
@@ -138,9 +138,9 @@ def probabilities(rows: DataFrame, margins: Margins, fraction: float) -> DataFra
 
 
 def lot(seed: int) -> Column:
-    """A number from 0 to 1 that the id decides (a null id counts as the empty text)."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    """A number from 0 to 1 that id and text decide (where null, they count as empty)."""
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text")]
+    return F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def _with_probability(rows: DataFrame, margins: Margins, table: DataFrame, name: str) -> DataFrame:
@@ -157,13 +157,13 @@ def mixed(docs: DataFrame, fraction: float = 0.5, margins: Margins | None = None
 
     Without ``margins`` the targets are ``smoothed_margins`` over source, language and topic. Null
     and empty texts have no tokens and topic ``none``; a null source or language is the category
-    ''. Rows with one id share their lot. Other columns are ignored.
+    ''. Rows with one id and equal texts share their lot. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", "lang", topic_and_tokens().alias("t")).select("doc_id", "source", "lang", "t.topic", "t.n_tokens")
-    rows = staged(rows, "mixing")
+    rows = docs.select("doc_id", "source", "lang", lot(seed).alias("lot"), topic_and_tokens().alias("t"))
+    rows = staged(rows.select("doc_id", "source", "lang", "lot", "t.topic", "t.n_tokens"), "mixing")
     margins = margins or smoothed_margins(rows, ["source", "lang", "topic"])
     out = _with_probability(rows, margins, probabilities(rows, margins, fraction), "probability")
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", (lot(seed) < F.col("probability")).alias("kept"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "probability", (F.col("lot") < F.col("probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, fraction: float = 0.5, margins: Margins | None = None, seed: int = 6) -> DataFrame:

@@ -82,3 +82,13 @@ def test_too_many_cells(documents, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_CELLS", 2)
     with pytest.raises(ValueError):
         mixing.mixed(documents([(i, "w", "en", f"s{i}") for i in range(5)])).count()
+
+
+def test_rows_of_one_id_have_lots_of_their_own(documents):
+    rows = [(None if i % 3 else 7, f"orchard {i}") for i in range(1500)]
+    df = documents(rows)
+    out = mixing.mixed(df, 0.5).collect()
+    for doc in (None, 7):
+        kept = [r.kept for r in out if r.doc_id == doc]
+        assert 0.4 < sum(kept) / len(kept) < 0.6
+    assert mixing.sample(df, 0.5).count() == sum(r.kept for r in out)
