@@ -28,9 +28,11 @@ ENDS = {
 #: Elements that a paragraph may not contain, and so end it.
 _HOLDS_P = frozenset("button object template td th caption li dd body".split())
 
+# A value is quoted only where a quote follows its "="; a quote that never ends is part of an unquoted value.
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>]*+"
 _MARKUP = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+    rf"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE}))?+)*+)>", re.S)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*+)))?+")
 
 
 @dataclass(slots=True)

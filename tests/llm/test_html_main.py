@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from cohortlens.llm import html_main as hm
-from cohortlens.llm.dom import parse
+from cohortlens.llm.dom import attributes, parse
 from cohortlens.llm.linear import HashedLinear
 
 LONG = "This is a sentence of some length that a reader would read. And here is another one, which goes on."
@@ -52,6 +52,22 @@ def test_parse(html, want):
     assert runs(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<p class=x">First text</p><p>Second</p><a href="/y">link</a>', ["First text", "Second", "link"]),
+    ("<p title=Bob's>one</p><p>it's</p>", ["one", "it's"]),
+    ("<p title=Bob's>one</p>", ["one"]), ('<p "x>a</p><p id="y">b</p>', ["a", "b"]), ("<p class=''x'>a</p><p>b's</p>", ["a", "b's"]),
+    ('<p a=b="c>d</p><p>e"</p>', ["d", 'e"']), ('<p class="x>a</p>', ["a"]), ("<p class = 'a > b' id=\"c>d\"e>f</p>", ["f"]),
+    ("</p\">a<p =\"x>b</p>\"", ["a", "b", '"']),
+])
+def test_stray_quotes(html, want):
+    assert runs(html) == want
+
+
+def test_attributes():
+    assert attributes(" class=x\" id='a b' = y Data-X=\"1 > 0\" href=/a/b?c=d checked/") == {
+        "class": 'x"', "id": "a b", "=": "", "y": "", "data-x": "1 > 0", "href": "/a/b?c=d", "checked": ""}
+
+
 PAGES = {
     "article": f"<nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Title</h1><p>{LONG}</p><p>Short.</p></article><footer>&copy; 2020 me</footer>",
     "ads inside": f'<main><h1>Title</h1><p>{LONG}</p><div class="ad">Buy now</div><p>Short.</p></main>',
