@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, exact, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
+from cohortlens.llm import bpe, decontam, exact, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
 from cohortlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,35 @@ def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_tree_main_text")
 def tree_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_texts(read(spark, sf_dir, "pages"))
+
+
+@query("op13_broadcast_decontamination", r"""
+WITH bw AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS l, w[p : p + least(len(w), 10) - 1] AS win
+  FROM bw, LATERAL generate_series(1, len(w) - least(len(w), 10) + 1) AS g(p)
+  WHERE len(w) > 0),
+lens AS (SELECT DISTINCT l FROM win),
+dw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+hit AS (
+  SELECT DISTINCT dw.rid, s.p, lens.l, win.item
+  FROM dw CROSS JOIN lens, LATERAL generate_series(1, len(dw.w) - lens.l + 1) AS s(p)
+  JOIN win ON win.l = lens.l AND win.win = dw.w[s.p : s.p + lens.l - 1]),
+cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM hit, LATERAL generate_series(p, p + l - 1) AS c(q) GROUP BY rid),
+its AS (SELECT rid, count(DISTINCT item) AS n_items,
+               array_to_string(list_sort(list_distinct(list(item))), ',') AS items FROM hit GROUP BY rid)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(cov.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(its.items, '')) AS items_sha256,
+       coalesce(cov.n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+""")
+def broadcast_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
