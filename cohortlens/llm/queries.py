@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontam, exact, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
+from cohortlens.llm import bpe, decontam, exact, merkle, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
 from cohortlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 """)
 def broadcast_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op11_merkle_manifest")
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(read(spark, sf_dir, "documents"))
