@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import bpe, decontam, exact, merkle, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
+from cohortlens.llm import bpe, decontam, exact, merkle, search, html_main, mixing, ring, rules, simhash, suffixes, toxicity, weak_quality
 from cohortlens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,35 @@ def broadcast_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest")
 def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(read(spark, sf_dir, "documents"))
+
+
+@query("op12_treap_ranked_search", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+dd AS (SELECT * FROM d WHERE len(t) > 0),
+stats AS (SELECT count(*) AS n_docs, sum(len(t)) AS n_terms FROM dd),
+post AS (SELECT rid, doc_id, CAST(len(t) AS BIGINT) AS n, term, count(*) AS tf
+         FROM dd, unnest(t) AS u(term) GROUP BY rid, doc_id, len(t), term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+imp AS (
+  SELECT p.rid, p.doc_id, p.term,
+         CAST(floor(1000.0 * ln((2.0 * s.n_docs + 2.0) / (2.0 * df.df + 1.0))) AS BIGINT)
+         * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * s.n_docs) // s.n_terms))) AS impact
+  FROM post p JOIN df USING (term) CROSS JOIN stats s),
+q AS (
+  SELECT item_id, term, count(*) AS mult
+  FROM benchmark, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS u(term)
+  GROUP BY item_id, term),
+sc AS (SELECT q.item_id, imp.rid, imp.doc_id, sum(q.mult * imp.impact) AS score
+       FROM q JOIN imp USING (term) GROUP BY q.item_id, imp.rid, imp.doc_id),
+rk AS (SELECT item_id, doc_id, score,
+              row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+       FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM rk WHERE rank <= 20
+""")
+def treap_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
