@@ -33,9 +33,10 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged
+import uuid
+
 from cohortlens.llm.decontam import LOWER, UPPER
-from cohortlens.runtime import small
+from cohortlens.runtime import shared_dir, small
 
 # Fixed values of the contract: terms and the scoring constants.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -55,6 +56,22 @@ GROUPS = 64
 BROADCAST_BYTES = 32 << 20
 
 
+def _stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and the folder's path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _drop(spark, *paths: str) -> None:
+    """Delete written tables that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def terms(text: Column | str = "text") -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
@@ -68,29 +85,35 @@ class Index:
     cells: list[DataFrame]
     height: int
     fanout: int
+    paths: list[str]
+
+    def drop_upper(self) -> None:
+        """Delete the cells above height 0 (a search that is done with them)."""
+        _drop(self.cells[0].sparkSession, *self.paths[1:])
 
 
-def postings(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """``(postings, N, L)``: ``place, doc_id, n, term, tf`` of every document with a term."""
+def postings(docs: DataFrame) -> tuple[DataFrame, int, int, str]:
+    """``(postings, N, L, path)``: ``place, doc_id, n, term, tf`` of every document with a term,
+    written at ``path``."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), terms("text").alias("t"))
     rows = rows.select("rid", "doc_id", F.size("t").alias("n"), F.explode("t").alias("term"))
     post = rows.groupBy("rid", "term").agg(F.first("doc_id").alias("doc_id"), F.first("n").cast("long").alias("n"),
                                            F.count("*").alias("tf"))
-    post = staged(post, "search-postings")
+    post, path = _stage(post, "search-postings")
     # Places: the task's number above the bits of its largest row number, so ranges stay dense.
     span = post.agg(F.count_distinct("rid").alias("N"), F.sum("tf").alias("L"),
                     F.max(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1))).alias("top")).first()
     bits = int(span.top or 0).bit_length()
     place = F.shiftleft(F.shiftright("rid", 33), bits).bitwiseOR(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)))
-    return post.select(place.alias("place"), "doc_id", "n", "term", "tf"), int(span.N or 0), int(span.L or 0)
+    return post.select(place.alias("place"), "doc_id", "n", "term", "tf"), int(span.N or 0), int(span.L or 0), path
 
 
 def build(docs: DataFrame, fanout: int = FANOUT) -> Index:
-    post, n_docs, n_terms = postings(docs)
+    post, n_docs, n_terms, post_path = postings(docs)
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     total = post.count()
     bound = max(1000, ceil(total * 64 / BROADCAST_BYTES))  # frequent terms: at most total / bound of them
-    frequent = staged(df.where(F.col("df") > bound), "search-frequent")
+    frequent, frequent_path = _stage(df.where(F.col("df") > bound), "search-frequent")
     size = frequent.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     if size <= BROADCAST_BYTES:  # few by count, and long terms are counted too
         weighted = (post.join(F.broadcast(frequent), "term")
@@ -101,7 +124,9 @@ def build(docs: DataFrame, fanout: int = FANOUT) -> Index:
     w = f"CAST(floor(1000.0D * ln((2.0D * {n_docs} + 2.0D) / (2.0D * df + 1.0D))) AS BIGINT)"
     m = f"({M_BASE} + ({M_SLOPE} * n * {n_docs}) div {max(n_terms, 1)})"
     impact = F.expr(f"{w} * (({TF_SCALE} * tf) div ({TF_NORM} * tf + {LENGTH_WEIGHT} * {m}))")
-    base = staged(weighted.select("term", F.col("place").alias("block"), "doc_id", impact.alias("top")), "search-cells")
+    base, path = _stage(weighted.select("term", F.col("place").alias("block"), "doc_id", impact.alias("top")), "search-cells")
+    _drop(docs.sparkSession, post_path, frequent_path)  # all that later steps need is in the cells
+    paths = [path]
     top = base.agg(F.max("block")).first()[0]
     height = 0
     while top is not None and top // fanout**height > 0:  # the single range at ``height`` holds every place
@@ -109,8 +134,10 @@ def build(docs: DataFrame, fanout: int = FANOUT) -> Index:
     cells = [base]
     for _ in range(height):
         up = cells[-1].groupBy("term", F.expr(f"block div {fanout}").alias("block")).agg(F.max("top").alias("top"))
-        cells.append(staged(up, "search-cells"))
-    return Index(cells, height, fanout)
+        up, path = _stage(up, "search-cells")
+        cells.append(up)
+        paths.append(path)
+    return Index(cells, height, fanout, paths)
 
 
 def search(index: Index, items: DataFrame, top: int = TOP, groups: int = GROUPS) -> DataFrame:
@@ -118,6 +145,7 @@ def search(index: Index, items: DataFrame, top: int = TOP, groups: int = GROUPS)
     asked = items.select("item_id", F.explode(terms("text")).alias("term")).groupBy("item_id", "term").agg(
         F.count("*").cast("long").alias("mult"))
     asked = small(asked, width=4)
+    cand_path = None
     cand = asked.select("item_id").distinct().select("item_id", F.lit(0).cast("long").alias("block"),
                                                     F.lit(0).cast("long").alias("bound"))
     for h in range(index.height, 0, -1):
@@ -126,13 +154,15 @@ def search(index: Index, items: DataFrame, top: int = TOP, groups: int = GROUPS)
         probe = cand.join(asked, "item_id").join(cells, ["term", "block"])
         ranges = probe.groupBy("item_id", "child", "bound").agg(
             F.sum(F.col("mult") * F.col("top")).alias("upper"), F.max(F.col("mult") * F.col("top")).alias("lower"))
-        ranges = staged(ranges, "search-ranges")
+        ranges, ranges_path = _stage(ranges, "search-ranges")
         best = ranges.groupBy("item_id", F.pmod(F.xxhash64("child"), F.lit(groups)).alias("g")).agg(F.max("lower").alias("lower"))
         beat = best.groupBy("item_id").agg(F.sort_array(F.collect_list("lower"), asc=False).alias("l"))
         beat = beat.select("item_id", F.when(F.size("l") >= top, F.element_at("l", top)).otherwise(F.lit(0)).alias("beat"))
         kept = ranges.join(small(beat, width=2), "item_id").withColumn("bound", F.greatest("bound", "beat"))
         kept = kept.where((F.col("upper") >= F.col("bound")) & (F.col("upper") > 0))
-        cand = staged(kept.select("item_id", F.col("child").alias("block"), "bound"), "search-candidates")
+        cand_before = cand_path
+        cand, cand_path = _stage(kept.select("item_id", F.col("child").alias("block"), "bound"), "search-candidates")
+        _drop(items.sparkSession, ranges_path, *([cand_before] if cand_before else []))
     cells = index.cells[0].select("term", F.col("block").alias("place"), "doc_id", "top")
     found = cand.select("item_id", F.col("block").alias("place"), "bound").join(asked, "item_id").join(cells, ["term", "place"])
     scored = found.groupBy("item_id", "place", "doc_id", "bound").agg(F.sum(F.col("mult") * F.col("top")).alias("score"))
@@ -145,4 +175,7 @@ def search(index: Index, items: DataFrame, top: int = TOP, groups: int = GROUPS)
 
 def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """Every item of ``items`` (``item_id, text``) against all of ``docs`` (``doc_id, text``)."""
-    return search(build(docs), items, top)
+    index = build(docs)
+    found = search(index, items, top)
+    index.drop_upper()  # the result reads the last candidates and the cells of height 0 only
+    return found
