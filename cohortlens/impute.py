@@ -34,6 +34,9 @@ def knn_impute(
     comparable donor takes the donors' column mean.
     """
     cols = list(cols)
+    alike = df is donors
+    df = cut(df)  # read several times, as are the donors
+    donors = df if alike else cut(donors)
     any_gap = F.exists(F.array(*cols), lambda v: v.isNull())
     whole, holed = df.where(~any_gap), df.where(any_gap)
     if holed.limit(1).count() == 0:
