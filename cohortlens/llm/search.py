@@ -1,23 +1,25 @@
 """Ranked lexical search over a k²-treap of impacts.
 
-The grid has a row per term and a column per document; a cell holds the term's impact in the
-document, ``w * ((10^9 * tf) div (1000 * tf + 12 * m))``. The treap keeps, for every height
-``h``, each term row cut into ranges of ``fanout**h`` documents, and a cell stores the largest
-impact in its range; only cells that hold anything exist (the compressed tree). A query item
-names term rows with their repeats; its row paths are descended together, best-first, level by
-level over document ranges: a range's upper bound is the sum over the item's terms of repeats
-times the cell maximum, its lower bound the largest single such product (the document holding
-that maximum scores at least that). The bound to beat is the 20th best lower bound among ranges
-that are sure to hold different documents; ranges whose upper bound falls below it are dropped,
-the others are opened. At height 0 a range is one document and the bound is its exact score.
-
-Scale: documents get a row id in their scan task; postings (term, document, tf) are made by
-an aggregate that combines in that task, and written once. ``df`` is joined to the postings
-with its frequent terms broadcast (their number is bounded by postings over the frequency
-bound) and the rest by a shuffle in which no term has more than that bound of rows. Every level
-of cells is one ``groupBy``. The search joins candidate ranges to cells by (term, parent
-range), so no task sees more than ``fanout`` cells of a term and range. Lower bounds are kept
-per item and hash group (``GROUPS`` numbers an item), never sorted as a whole.
+The grid has a row per term and a column per document; a cell holds the document's factor of the
+term's impact, ``(10^9 * tf) div (1000 * tf + 12 * m)``; the term's weight ``w`` is the same in its
+whole row and is put in when the row is asked for. The treap keeps, for every height ``h`` from
+``LOWEST`` on, each term row cut into ranges of ``fanout**h`` documents, and a cell stores the
+largest factor in its range; only cells that hold anything exist (the compressed tree). Postings are
+height 0; the cells between, nearly as many as postings, are made for the rows that are asked for.
+A query item names term rows with their repeats; its row paths are descended together, best-first,
+level by level over document ranges: a range's upper bound is the sum over the item's terms of
+repeats times weight times the cell maximum, its lower bound the largest single such product (the
+document holding that maximum scores at least that). The bound to beat is the 20th best lower bound
+among ranges that are sure to hold different documents, or the 20th best score of the documents in
+a few ranges of high upper bounds, which are opened first; ranges whose upper bound falls below it
+are dropped, the others are opened. At height 0 a range is one document and the bound is its exact
+score.
+
+Scale: documents get a row id, and their terms are counted, in their scan task, which writes the
+postings (term, document, tf) without a shuffle. Only the asked terms' ``df`` are counted, from
+their postings. Every level of cells is one ``groupBy``. The search joins candidate ranges to cells
+by (term, parent range), so no task sees more than ``fanout**2`` cells of a term and range. Lower
+bounds are kept per item and hash group (``GROUPS`` numbers an item), never sorted as a whole.
 
 Defined cases: a null text has no terms and is no document of ``N``; an item without terms gets
 no rows; repeated rows are documents each (equal rows get equal scores; of equal scores the
@@ -27,13 +29,16 @@ tables give an empty result; other columns of either table are ignored, whatever
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-import uuid
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortlens.llm.decontam import LOWER, UPPER
 from cohortlens.runtime import shared_dir, small
@@ -52,14 +57,18 @@ FANOUT = 16
 TOP = 20
 #: Hash groups of ranges whose best lower bounds give the bound to beat.
 GROUPS = 64
-#: Bytes of frequent terms that may be broadcast to the postings.
-BROADCAST_BYTES = 32 << 20
+#: Height from which on cells are stored.
+LOWEST = 2
+#: Ranges of an item whose documents are scored before the others, for a bound to beat.
+SEEDS = 8
+#: Postings that a task puts together at once.
+PIECE = 100_000
 
 
 def _stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and the folder's path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -77,31 +86,71 @@ def terms(text: Column | str = "text") -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
+#: Bytes of UTF-8 with A-Z lower-cased and every byte that is in no term as a space.
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def _split(text: bytes | None) -> list[bytes]:
+    """As :func:`terms`, in UTF-8."""
+    return (text or b"").translate(_TERM_BYTES).split()
+
+
 @dataclass
 class Index:
     """``cells[h]``: ``term, block, top`` (``doc_id`` too at height 0, where ``block`` is the
     document's place); ``height``: the height of the single range that holds every document."""
 
-    cells: list[DataFrame]
+    cells: dict[int, DataFrame]
     height: int
     fanout: int
+    n_docs: int
     paths: list[str]
 
     def drop_upper(self) -> None:
-        """Delete the cells above height 0 (a search that is done with them)."""
-        _drop(self.cells[0].sparkSession, *self.paths[1:])
+        """Delete the written cells (a search that is done with them)."""
+        _drop(self.cells[0].sparkSession, *self.paths)
 
 
 def postings(docs: DataFrame) -> tuple[DataFrame, int, int, str]:
     """``(postings, N, L, path)``: ``place, doc_id, n, term, tf`` of every document with a term,
     written at ``path``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), terms("text").alias("t"))
-    rows = rows.select("rid", "doc_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    post = rows.groupBy("rid", "term").agg(F.first("doc_id").alias("doc_id"), F.first("n").cast("long").alias("n"),
-                                           F.count("*").alias("tf"))
-    post, path = _stage(post, "search-postings")
+    kind = docs.schema["doc_id"].dataType
+    fields = [("rid", T.LongType()), ("doc_id", kind), ("n", T.LongType()), ("term", T.StringType()), ("tf", T.LongType()), ("head", T.BooleanType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, lengths, words, counts = [], [], [], [], []
+
+            def piece(batch=batch):
+                of = pa.array([i for i, n in zip(rows, sizes) for _ in range(n)], pa.int64())
+                long = pa.array([x for x, n in zip(lengths, sizes) for _ in range(n)], pa.int64())
+                head = pa.array([j == 0 for n in sizes for j in range(n)], pa.bool_())
+                term = pa.array(words, pa.binary()).view(pa.string())
+                columns = [batch.column("rid").take(of), batch.column("doc_id").take(of), long, term, pa.array(counts, pa.int64()), head]
+                return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                found = _split(text.as_py())
+                if not found:
+                    continue
+                tf = Counter(found)
+                rows.append(i)
+                sizes.append(len(tf))
+                lengths.append(len(found))
+                words += tf
+                counts += tf.values()
+                if len(words) >= PIECE:
+                    yield piece()
+                    rows, sizes, lengths, words, counts = [], [], [], [], []
+            if words:
+                yield piece()
+
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    post, path = _stage(numbered.mapInArrow(run, schema), "search-postings")
     # Places: the task's number above the bits of its largest row number, so ranges stay dense.
-    span = post.agg(F.count_distinct("rid").alias("N"), F.sum("tf").alias("L"),
+    span = post.agg(F.count_if("head").alias("N"), F.sum("tf").alias("L"),
                     F.max(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1))).alias("top")).first()
     bits = int(span.top or 0).bit_length()
     place = F.shiftleft(F.shiftright("rid", 33), bits).bitwiseOR(F.col("rid").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -109,35 +158,22 @@ def postings(docs: DataFrame) -> tuple[DataFrame, int, int, str]:
 
 
 def build(docs: DataFrame, fanout: int = FANOUT) -> Index:
-    post, n_docs, n_terms, post_path = postings(docs)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    total = post.count()
-    bound = max(1000, ceil(total * 64 / BROADCAST_BYTES))  # frequent terms: at most total / bound of them
-    frequent, frequent_path = _stage(df.where(F.col("df") > bound), "search-frequent")
-    size = frequent.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    if size <= BROADCAST_BYTES:  # few by count, and long terms are counted too
-        weighted = (post.join(F.broadcast(frequent), "term")
-                    .unionByName(post.join(F.broadcast(frequent.select("term")), "term", "left_anti")
-                                 .join(df.where(F.col("df") <= bound), "term")))
-    else:
-        weighted = post.join(df, "term")
-    w = f"CAST(floor(1000.0D * ln((2.0D * {n_docs} + 2.0D) / (2.0D * df + 1.0D))) AS BIGINT)"
+    post, n_docs, n_terms, path = postings(docs)
     m = f"({M_BASE} + ({M_SLOPE} * n * {n_docs}) div {max(n_terms, 1)})"
-    impact = F.expr(f"{w} * (({TF_SCALE} * tf) div ({TF_NORM} * tf + {LENGTH_WEIGHT} * {m}))")
-    base, path = _stage(weighted.select("term", F.col("place").alias("block"), "doc_id", impact.alias("top")), "search-cells")
-    _drop(docs.sparkSession, post_path, frequent_path)  # all that later steps need is in the cells
+    factor = F.expr(f"({TF_SCALE} * tf) div ({TF_NORM} * tf + {LENGTH_WEIGHT} * {m})")
+    base = post.select("term", F.col("place").alias("block"), "doc_id", factor.alias("top"))
     paths = [path]
     top = base.agg(F.max("block")).first()[0]
     height = 0
     while top is not None and top // fanout**height > 0:  # the single range at ``height`` holds every place
         height += 1
-    cells = [base]
-    for _ in range(height):
-        up = cells[-1].groupBy("term", F.expr(f"block div {fanout}").alias("block")).agg(F.max("top").alias("top"))
-        up, path = _stage(up, "search-cells")
-        cells.append(up)
+    cells, below = {0: base}, 0
+    for h in range(LOWEST, height):
+        wide = F.expr(f"block div {fanout ** (h - below)}").alias("block")
+        cells[h], path = _stage(cells[below].groupBy("term", wide).agg(F.max("top").alias("top")), "search-cells")
         paths.append(path)
-    return Index(cells, height, fanout, paths)
+        below = h
+    return Index(cells, height, fanout, n_docs, paths)
 
 
 def search(index: Index, items: DataFrame, top: int = TOP, groups: int = GROUPS) -> DataFrame:
@@ -145,27 +181,50 @@ def search(index: Index, items: DataFrame, top: int = TOP, groups: int = GROUPS)
     asked = items.select("item_id", F.explode(terms("text")).alias("term")).groupBy("item_id", "term").agg(
         F.count("*").cast("long").alias("mult"))
     asked = small(asked, width=4)
+    names = small(asked.select("term").distinct(), width=2)
+    # the rows asked for: their postings are read again and again
+    opened = index.cells[0].join(names, "term", "left_semi").select("term", F.col("block").alias("place"), "doc_id", "top")
+    opened, _ = _stage(opened, "search-opened")
+    weight = F.expr(f"CAST(floor(1000.0D * ln((2.0D * {index.n_docs} + 2.0D) / (2.0D * df + 1.0D))) AS BIGINT)")
+    weighted = asked.join(opened.groupBy("term").agg(F.count("*").alias("df")), "term")
+    asked = small(weighted.select("item_id", "term", (F.col("mult") * weight).alias("weight")).where("weight > 0"), width=4)
+    worth = F.col("weight") * F.col("top")
+
+    def beaten(lower: DataFrame, name: str) -> DataFrame:
+        """Per item the ``top``-th largest ``lower``, 0 if there are fewer; a few an item."""
+        lists = lower.groupBy("item_id").agg(F.sort_array(F.collect_list("lower"), asc=False).alias("l"))
+        return small(lists.select("item_id", F.when(F.size("l") >= top, F.element_at("l", top)).otherwise(F.lit(0)).alias(name)), width=2)
+
+    def scores(ranges: DataFrame, width: int, *keep: str) -> DataFrame:
+        """``score`` of every document in the ``ranges`` (``item_id, block``) of ``width`` places."""
+        cells = opened.withColumn("block", F.expr(f"place div {width}"))
+        found = ranges.join(asked, "item_id").join(cells, ["term", "block"])
+        return found.groupBy("item_id", "place", "doc_id", *keep).agg(F.sum(worth).alias("score"))
+
     cand_path = None
     cand = asked.select("item_id").distinct().select("item_id", F.lit(0).cast("long").alias("block"),
                                                     F.lit(0).cast("long").alias("bound"))
-    for h in range(index.height, 0, -1):
-        cells = index.cells[h - 1].select("term", F.col("block").alias("child"),
-                                          F.expr(f"block div {index.fanout}").alias("block"), "top")
+    for h in range(index.height - 1, 0, -1):
+        if h in index.cells:
+            cells = index.cells[h].join(names, "term", "left_semi")
+        else:
+            cells = opened.groupBy("term", F.expr(f"place div {index.fanout ** h}").alias("block")).agg(F.max("top").alias("top"))
+        cells = cells.select("term", F.col("block").alias("child"), F.expr(f"block div {index.fanout}").alias("block"), "top")
         probe = cand.join(asked, "item_id").join(cells, ["term", "block"])
-        ranges = probe.groupBy("item_id", "child", "bound").agg(
-            F.sum(F.col("mult") * F.col("top")).alias("upper"), F.max(F.col("mult") * F.col("top")).alias("lower"))
+        ranges = probe.groupBy("item_id", "child", "bound").agg(F.sum(worth).alias("upper"), F.max(worth).alias("lower"))
         ranges, ranges_path = _stage(ranges, "search-ranges")
         best = ranges.groupBy("item_id", F.pmod(F.xxhash64("child"), F.lit(groups)).alias("g")).agg(F.max("lower").alias("lower"))
-        beat = best.groupBy("item_id").agg(F.sort_array(F.collect_list("lower"), asc=False).alias("l"))
-        beat = beat.select("item_id", F.when(F.size("l") >= top, F.element_at("l", top)).otherwise(F.lit(0)).alias("beat"))
-        kept = ranges.join(small(beat, width=2), "item_id").withColumn("bound", F.greatest("bound", "beat"))
+        kept = ranges.join(beaten(best, "beat"), "item_id").withColumn("bound", F.greatest("bound", "beat"))
+        if h == min(LOWEST, index.height - 1):
+            # the best range of each of a few hash groups is opened at once: scores of documents are a better bound
+            first = ranges.groupBy("item_id", F.pmod(F.xxhash64("child"), F.lit(SEEDS)).alias("g")).agg(F.max_by("child", "upper").alias("block"))
+            seen = scores(first.select("item_id", "block"), index.fanout**h).select("item_id", F.col("score").alias("lower"))
+            kept = kept.join(beaten(seen, "known"), "item_id", "left").withColumn("bound", F.greatest("bound", "known"))
         kept = kept.where((F.col("upper") >= F.col("bound")) & (F.col("upper") > 0))
         cand_before = cand_path
         cand, cand_path = _stage(kept.select("item_id", F.col("child").alias("block"), "bound"), "search-candidates")
         _drop(items.sparkSession, ranges_path, *([cand_before] if cand_before else []))
-    cells = index.cells[0].select("term", F.col("block").alias("place"), "doc_id", "top")
-    found = cand.select("item_id", F.col("block").alias("place"), "bound").join(asked, "item_id").join(cells, ["term", "place"])
-    scored = found.groupBy("item_id", "place", "doc_id", "bound").agg(F.sum(F.col("mult") * F.col("top")).alias("score"))
+    scored = scores(cand, index.fanout if index.height else 1, "bound")
     scored = scored.where((F.col("score") > 0) & (F.col("score") >= F.col("bound")))
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("place")]
     salted = scored.withColumn("r", F.row_number().over(Window.partitionBy("item_id", F.pmod("place", F.lit(groups))).orderBy(*order)))
@@ -177,5 +236,5 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """Every item of ``items`` (``item_id, text``) against all of ``docs`` (``doc_id, text``)."""
     index = build(docs)
     found = search(index, items, top)
-    index.drop_upper()  # the result reads the last candidates and the cells of height 0 only
+    index.drop_upper()  # the result reads the last candidates and the postings asked for only
     return found

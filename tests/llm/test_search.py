@@ -61,3 +61,14 @@ def test_odd_rows_long_text_and_empty(spark, documents, empty, odd):
     assert got(search.ranked(odd, items_of(spark, items))) == brute(ODD_ROWS, items)
     assert search.ranked(empty, items_of(spark, items)).count() == 0
     assert search.ranked(odd, items_of(spark, items).where("item_id < 0")).count() == 0
+
+
+def test_postings_are_counted_in_the_scan_and_terms_as_in_sql(spark, documents, monkeypatch):
+    plans, stage = {}, search._stage
+    monkeypatch.setattr(search, "_stage", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), stage(df, name))[1])
+    text = "A_b C9, é漢字 x y [z] Ünder-Score 10\t\n~a"
+    post, n_docs, n_terms, _ = search.postings(documents([(1, text), (2, None), (3, "a a b"), (4, " !")]))
+    assert "Aggregate" not in plans["search-postings"] and "hashpartitioning" not in plans["search-postings"]
+    assert (n_docs, n_terms) == (2, len(brute_terms(text)) + 3)
+    assert {(r.doc_id, r.term): r.tf for r in post.collect() if r.doc_id == 1} == {(1, t): c for t, c in Counter(brute_terms(text)).items()}
+    assert 1 not in search.build(documents([(i, "same") for i in range(40)]), fanout=2).cells
