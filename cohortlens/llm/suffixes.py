@@ -9,8 +9,10 @@ rows are sorted by them and neighbours compared. What is equal is a shared passa
 words, and the union of these is the whole shared passage. Nothing shorter is ever reported.
 
 Only suffixes whose first words occur twice get their context, and only their positions meet the
-texts again. A start shared by more than ``CLASS_ROWS`` suffixes is not compared inside one task but
-by grouping the passages themselves, which gives the same rows.
+texts again. Of a start shared by more than ``CLASS_ROWS`` suffixes, those with the same words around
+are one kind, which knows the least and the greatest of its documents: kinds are compared in their
+place, and their members get the result. Only where more than ``CLASS_ROWS`` kinds share a start, it
+is not compared inside one task but by grouping the passages themselves, which gives the same rows.
 """
 
 from __future__ import annotations
@@ -171,81 +173,134 @@ def _matrix(column: pd.Series) -> np.ndarray:
 HITS = "doc_id bigint, body bigint, start_word int, end_word int, first_id bigint"
 
 
+def _classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames sorted by ``start`` as frames of whole classes."""
+    # rows are gathered until a later start comes, so classes stay whole
+    held = []
+    for pdf in frames:
+        held.append(pdf)
+        if sum(map(len, held)) < CLASS_ROWS:
+            continue
+        pdf = pd.concat(held, ignore_index=True)
+        whole = pdf["start"] != pdf["start"].iloc[-1]
+        if whole.any():
+            yield pdf[whole].reset_index(drop=True)
+        held = [pdf[~whole]]
+    if held and any(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def _numbered(doc: pd.Series, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents numbered in order of their ids, nulls last, and a row of each."""
+    doc_id, null = doc.fillna(0).to_numpy(np.int64), doc.isna().to_numpy()
+    order = np.lexsort((body, doc_id, null))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc_id[order][1:] != doc_id[order][:-1]) | (null[order][1:] != null[order][:-1]) | (body[order][1:] != body[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[np.flatnonzero(new)]
+
+
+def _shared(rows: pd.DataFrame, low: np.ndarray, high: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row, whose documents' numbers go from ``low`` to ``high``: the least and the most words
+    before its first ones (-1: none) in a passage that two documents have, and the least such number."""
+    least, most, first = np.full(len(rows), wide + 1), np.full(len(rows), -1), np.full(len(rows), high.max() + 1)
+    passages = _Passages(rows)
+    for words in range(wide + 1):
+        said, whole = passages.take(words)
+        order = np.flatnonzero(whole)
+        order = order[np.lexsort((low[order], said[order]))]
+        if not len(order):
+            continue
+        new = np.ones(len(order), bool)  # neighbours that differ begin a group
+        new[1:] = said[order][1:] != said[order][:-1]
+        heads = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        shared = (low[order[heads]] != np.maximum.reduceat(high[order], heads))[group]
+        hit = order[shared]
+        least[hit], most[hit] = np.minimum(least[hit], words), words
+        first[hit] = np.minimum(first[hit], low[order[heads]][group][shared])
+    return least, most, first
+
+
 def _compare(rows: DataFrame, wide: int, size: int) -> DataFrame:
     """What each suffix of a class that fits a task shares with other documents, as ``HITS``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # sorted by start: rows are gathered until a later start comes, so classes stay whole
-        held = []
-        for pdf in frames:
-            held.append(pdf)
-            if sum(map(len, held)) < CLASS_ROWS:
-                continue
-            pdf = pd.concat(held, ignore_index=True)
-            whole = pdf["start"] != pdf["start"].iloc[-1]
-            if whole.any():
-                yield of_classes(pdf[whole].reset_index(drop=True))
-            held = [pdf[~whole]]
-        if held and any(map(len, held)):
-            yield of_classes(pd.concat(held, ignore_index=True))
-
-    def of_classes(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, body, pos = pdf["doc_id"].astype("Int64"), pdf["body"].to_numpy(), pdf["pos"].to_numpy()
-        doc_id, null = doc.fillna(0).to_numpy(np.int64), doc.isna().to_numpy()
-        # documents numbered in order of their ids, nulls last
-        order = np.lexsort((body, doc_id, null))
-        new = np.ones(len(order), bool)
-        new[1:] = (doc_id[order][1:] != doc_id[order][:-1]) | (null[order][1:] != null[order][:-1]) | (body[order][1:] != body[order][:-1])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        some = order[np.flatnonzero(new)]  # a row of each document
-
-        none = len(some)
-        least, most, first = np.full(len(pdf), wide + 1), np.full(len(pdf), -1), np.full(len(pdf), none)
-        passages = _Passages(pdf)
-        for words in range(wide + 1):
-            said, whole = passages.take(words)
-            order = np.flatnonzero(whole)
-            order = order[np.lexsort((number[order], said[order]))]
-            if len(order) < 2:
-                continue
-            new = np.ones(len(order), bool)  # neighbours that differ begin a group
-            new[1:] = said[order][1:] != said[order][:-1]
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(order)) - 1
-            group = np.cumsum(new) - 1
-            shared = (number[order[heads]] != number[order[tails]])[group]
-            hit = order[shared]
-            least[hit], most[hit] = np.minimum(least[hit], words), words
-            first[hit] = np.minimum(first[hit], number[order[heads]][group][shared])
-        hit = np.flatnonzero(most >= 0)
-        # all these passages hold the suffix's first words, so together they are one run
-        return pd.DataFrame({
-            "doc_id": doc.iloc[hit].to_numpy(), "body": body[hit], "start_word": (pos[hit] - most[hit]).astype(np.int32),
-            "end_word": (pos[hit] - least[hit] + size).astype(np.int32), "first_id": doc.iloc[some[first[hit]]].to_numpy()}).astype({"doc_id": "Int64", "first_id": "Int64"})
+        for pdf in _classes(frames):
+            doc, body, pos = pdf["doc_id"].astype("Int64"), pdf["body"].to_numpy(), pdf["pos"].to_numpy()
+            number, some = _numbered(doc, body)
+            least, most, first = _shared(pdf, number, number, wide)
+            hit = np.flatnonzero(most >= 0)
+            # all these passages hold the suffix's first words, so together they are one run
+            yield pd.DataFrame({
+                "doc_id": doc.iloc[hit].to_numpy(), "body": body[hit], "start_word": (pos[hit] - most[hit]).astype(np.int32),
+                "end_word": (pos[hit] - least[hit] + size).astype(np.int32), "first_id": doc.iloc[some[first[hit]]].to_numpy()}).astype({"doc_id": "Int64", "first_id": "Int64"})
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "start").sortWithinPartitions("start").mapInPandas(run, HITS)
 
 
-def _group(rows: DataFrame, wide: int, size: int) -> DataFrame:
-    """The same for classes of any size: every passage is a row, grouped by what it says."""
+SHARED = "start bigint, around bigint, least int, most int, first_id bigint"
+
+
+def _compare_kinds(kinds: DataFrame, wide: int) -> DataFrame:
+    """What the kinds of a class that fits a task share, as ``SHARED``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _classes(frames):
+            doc = pd.concat([pdf["low_id"], pdf["high_id"]], ignore_index=True).astype("Int64")
+            number, some = _numbered(doc, np.concatenate([pdf["low_body"], pdf["high_body"]]))
+            least, most, first = _shared(pdf, number[:len(pdf)], number[len(pdf):], wide)
+            hit = np.flatnonzero(most >= 0)
+            yield pd.DataFrame({
+                "start": pdf["start"].to_numpy()[hit], "around": pdf["around"].to_numpy()[hit], "least": least[hit].astype(np.int32),
+                "most": most[hit].astype(np.int32), "first_id": doc.iloc[some[first[hit]]].to_numpy()}).astype({"first_id": "Int64"})
+
+    parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kinds.repartition(parts, "start").sortWithinPartitions("start").mapInPandas(run, SHARED)
+
+
+def _group_kinds(kinds: DataFrame, wide: int) -> DataFrame:
+    """The same for classes of any number of kinds: every passage is a row, grouped by what it says."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
-            passages = _Passages(pdf)
+            passages, own = _Passages(pdf), pdf[["start", "around", "low_id", "low_body", "high_id", "high_body"]].astype({"low_id": "Int64", "high_id": "Int64"})
             for words in range(wide + 1):
                 said, whole = passages.take(words)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "body": pdf["body"], "start_word": (pdf["pos"] - words).astype("int32"), "said": said})[whole]
+                yield own.assign(words=np.int32(words), said=said)[whole]
 
-    said = staged(rows.mapInPandas(run, "doc_id bigint, body bigint, start_word int, said bigint"), "passages")
-    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
-    shared = said.groupBy("said").agg(F.min(who).alias("low"), F.max(who).alias("high")).where("low <> high")
+    schema = "start bigint, around bigint, low_id bigint, low_body bigint, high_id bigint, high_body bigint, words int, said bigint"
+    said = staged(kinds.mapInPandas(run, schema), "passages")
+
+    def who(end: str):
+        return F.struct(F.col(f"{end}_id").isNull().alias("none"), F.col(f"{end}_id").alias("doc_id"), F.col(f"{end}_body").alias("body"))
+
+    shared = said.groupBy("said").agg(F.min(who("low")).alias("low"), F.max(who("high")).alias("high")).where("low <> high")
     shared = staged(shared.select("said", F.col("low.doc_id").alias("first_id")), "shared")
-    found = said.join(shared.hint("merge"), "said")
-    return found.select("doc_id", "body", "start_word", (F.col("start_word") + size).alias("end_word"), "first_id")
+    found = said.join(shared.hint("merge"), "said").groupBy("start", "around")
+    return found.agg(F.min("words").alias("least"), F.max("words").alias("most"), F.min("first_id").alias("first_id"))
+
+
+def _of_kinds(rows: DataFrame, wide: int, size: int) -> DataFrame:
+    """As :func:`_compare` for classes of any size: rows with the same words around share the same
+    passages, so they are compared as one kind, with the least and the greatest of its documents."""
+    rows = rows.withColumn("around", F.xxhash64("left_words", "right_words"))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    kinds = rows.groupBy("start", "around").agg(
+        F.min(who).alias("low"), F.max(who).alias("high"), F.first("left_words").alias("left_words"), F.first("right_words").alias("right_words"))
+    ends = [F.col(f"{end}.{c}").alias(f"{end}_{name}") for end in ("low", "high") for c, name in (("doc_id", "id"), ("body", "body"))]
+    kinds = staged(kinds.select("start", "around", *ends, "left_words", "right_words"), "kinds")
+    held = kinds.groupBy("start").agg((F.count("*") > CLASS_ROWS).alias("many"))
+    kinds = kinds.join(staged(held, "kinds-of-starts"), "start")
+    shared = _compare_kinds(kinds.where("NOT many").drop("many"), wide).unionByName(_group_kinds(kinds.where("many").drop("many"), wide))
+    shared = staged(shared, "shared-by-kinds")
+    found = rows.select("doc_id", "body", "pos", "start", "around").join(shared.hint("merge"), ["start", "around"])
+    spans = [(F.col("pos") - F.col("most")).alias("start_word"), (F.col("pos") - F.col("least") + size).alias("end_word")]
+    return found.select("doc_id", "body", *spans, "first_id")
 
 
 def repeated_passages(docs: DataFrame, window: int = 25, gram: int = 26) -> DataFrame:
@@ -265,7 +320,7 @@ def repeated_passages(docs: DataFrame, window: int = 25, gram: int = 26) -> Data
     places = rows.join(common.hint("merge"), "start").groupBy("doc_id", "body").agg(where)
     found, size = staged(_contexts(docs, places, window, gram), "contexts"), window + gram - 1
     few = _compare(found.where(F.col("alike") <= CLASS_ROWS), window - 1, size)
-    many = _group(found.where(F.col("alike") > CLASS_ROWS), window - 1, size)
+    many = _of_kinds(found.where(F.col("alike") > CLASS_ROWS), window - 1, size)
 
     # runs that touch are one: a run starts where no earlier one of its document reaches
     hits = few.unionByName(many)

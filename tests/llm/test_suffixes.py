@@ -94,3 +94,21 @@ def test_rolling_and_minimisers():
     for w in range(1, 8):
         want = {min(range(i, i + w), key=lambda p: (x[p], p)) for i in range(len(x) - w + 1)}
         assert set(suffixes.minimisers(x, w).tolist()) == want
+
+
+def test_copies_in_a_large_class_are_one_kind(spark, documents, monkeypatch):
+    made, staged = {}, suffixes.staged
+
+    def counted(df, name, *by):
+        out = staged(df, name, *by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "staged", counted)
+    monkeypatch.setattr(suffixes, "CLASS_ROWS", 10)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(words)) for i in range(40)] + [(100 + i, " ".join([f"x{i}", *words[:60], f"y{i}"])) for i in range(3)]
+    out = {r.doc_id: (r.start_word, r.end_word, r.first_id) for r in suffixes.repeated_passages(documents(rows)).collect()}
+    assert out == {**{i: (0, 80, 0) for i in range(40)}, **{100 + i: (1, 61, 0) for i in range(3)}}
+    assert made["passages"] == 0  # a row for each of 25 passages of each copy before
+    assert 0 < made["kinds"] < made["contexts"] / 5
