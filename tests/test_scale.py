@@ -5,8 +5,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortlens import validate
-from cohortlens.blocks import MOST_BLOCKS, block_pairs, n_blocks
-from cohortlens.clustering import density, merging
+from cohortlens.blocks import MOST_BLOCKS, block_pairs, n_blocks, packed
+from cohortlens.clustering import density, merging, mixture, partition
 from cohortlens.neighbors import nearest
 from tests.conftest import frame
 
@@ -86,3 +86,16 @@ def test_estimates_do_not_grow_with_the_rounds(spark):
     clusters, member, _ = merging.ward_rounds(frame(spark, np.random.default_rng(2).normal(size=(40, 3))), 3, 12)
     assert clusters.count() <= 12 and member.count() == 40
     assert _size(clusters) < 10 ** 400  # linear in the digits; it doubled them every round
+
+
+def test_passes_over_packed_vectors_give_the_same_sums(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 3))
+    df = frame(spark, x)
+    blocks = packed(df)
+    assert blocks.columns == ["block"] and blocks.count() <= 3  # a row for each vector before
+    centers = [x[:4], x[10:12]]
+    for one, two in zip(partition._cluster_sums(df, centers), partition._cluster_sums(blocks, centers)):
+        assert np.array_equal(one.round(9), two.round(9))
+    model = mixture._start(x[:2], x.var(0), "full")
+    assert np.array_equal(mixture.e_pass(df, [model])[0].round(9), mixture.e_pass(blocks, [model])[0].round(9))
