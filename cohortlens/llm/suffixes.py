@@ -116,31 +116,38 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, places: DataFrame, window: int, gram: int) -> DataFrame:
-    """Adds to ``doc_id, body, places`` the text, and turns each place into a row with the hashes
-    of the ``window - 1`` words before it and after its first words (0 where the text ends)."""
+    """Adds to ``doc_id, body, places`` the text, and turns the places into rows with the hashes of
+    the ``window - 1`` words before them and after their first words (0 where the text ends). Places
+    of a text with the same words there are one row: a line said a thousand times is few rows."""
     wide = window - 1
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in frames:
-            out = []
-            for doc, body, text, found in zip(pdf["doc_id"], pdf["body"], pdf["text"], pdf["places"]):
+            of, rows = [], []
+            for i, (text, found) in enumerate(zip(pdf["text"], pdf["places"])):
                 words = (_mix(hashes(text)) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
                 words = np.concatenate([np.zeros(wide, np.uint32), words, np.zeros(wide, np.uint32)])
+                found = sorted(found, key=lambda p: p["pos"])
                 pos = np.array([p["pos"] for p in found], np.int64)
                 left = words[pos[:, None] + np.arange(wide)[None, :]]
                 right = words[pos[:, None] + wide + gram + np.arange(wide)[None, :]]
-                out.append(pd.DataFrame({
-                    "doc_id": doc, "body": body, "pos": pos, "start": [p["start"] for p in found], "alike": [p["alike"] for p in found],
-                    "left_words": [x.tobytes() for x in left], "right_words": [x.tobytes() for x in right]}))
-            if out:
-                yield pd.concat(out).astype({"doc_id": "Int64"})
+                same: dict[tuple, list[int]] = {}
+                for p, before, after in zip(found, left, right):
+                    same.setdefault((p["start"], p["alike"], before.tobytes(), after.tobytes()), []).append(p["pos"])
+                of += [i] * len(same)
+                rows += [(at, *key) for key, at in same.items()]
+            out = pd.DataFrame(rows, columns=["pos", "start", "alike", "left_words", "right_words"])
+            out.insert(0, "body", pdf["body"].to_numpy()[of])
+            out.insert(0, "doc_id", pdf["doc_id"].take(of).reset_index(drop=True))
+            if len(out):
+                yield out.astype({"doc_id": "Int64"})
 
     found = places.withColumnsRenamed({"doc_id": "d", "body": "b"})
     keyed = _keyed(docs)
     same = keyed["doc_id"].eqNullSafe(found["d"]) & (keyed["body"] == found["b"])
     rows = keyed.join(found, same).select("doc_id", "body", "text", "places")
-    return rows.mapInPandas(run, "doc_id bigint, body bigint, pos int, start bigint, alike bigint, left_words binary, right_words binary")
+    return rows.mapInPandas(run, "doc_id bigint, body bigint, pos array<int>, start bigint, alike bigint, left_words binary, right_words binary")
 
 
 class _Passages:
@@ -223,19 +230,31 @@ def _shared(rows: pd.DataFrame, low: np.ndarray, high: np.ndarray, wide: int) ->
     return least, most, first
 
 
+def _hits(rows: pd.DataFrame, least: np.ndarray, most: np.ndarray, first: np.ndarray | pd.Series, size: int) -> pd.DataFrame:
+    """The words that each row's passages cover, as ``HITS``: runs of its places that touch are one."""
+    of = np.repeat(np.arange(len(rows)), rows["pos"].map(len).to_numpy(np.int64))
+    pos = np.concatenate([np.zeros(0, np.int64), *rows["pos"]])
+    # all these passages hold the suffix's first words, so together they are one run; places ascend
+    start, end = pos - most[of], pos - least[of] + size
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (start[1:] > end[:-1])
+    head = np.flatnonzero(new)
+    last, of = np.r_[head[1:], len(new)][:len(head)] - 1, of[head]
+    return pd.DataFrame({
+        "doc_id": rows["doc_id"].astype("Int64").take(of).to_numpy(), "body": rows["body"].to_numpy()[of], "start_word": start[head].astype(np.int32),
+        "end_word": end[last].astype(np.int32), "first_id": pd.Series(first).astype("Int64").take(of).to_numpy()}).astype({"doc_id": "Int64", "first_id": "Int64"})
+
+
 def _compare(rows: DataFrame, wide: int, size: int) -> DataFrame:
     """What each suffix of a class that fits a task shares with other documents, as ``HITS``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _classes(frames):
-            doc, body, pos = pdf["doc_id"].astype("Int64"), pdf["body"].to_numpy(), pdf["pos"].to_numpy()
-            number, some = _numbered(doc, body)
+            doc = pdf["doc_id"].astype("Int64")
+            number, some = _numbered(doc, pdf["body"].to_numpy())
             least, most, first = _shared(pdf, number, number, wide)
             hit = np.flatnonzero(most >= 0)
-            # all these passages hold the suffix's first words, so together they are one run
-            yield pd.DataFrame({
-                "doc_id": doc.iloc[hit].to_numpy(), "body": body[hit], "start_word": (pos[hit] - most[hit]).astype(np.int32),
-                "end_word": (pos[hit] - least[hit] + size).astype(np.int32), "first_id": doc.iloc[some[first[hit]]].to_numpy()}).astype({"doc_id": "Int64", "first_id": "Int64"})
+            yield _hits(pdf.iloc[hit], least[hit], most[hit], doc.iloc[some[first[hit]]], size)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "start").sortWithinPartitions("start").mapInPandas(run, HITS)
@@ -299,8 +318,12 @@ def _of_kinds(rows: DataFrame, wide: int, size: int) -> DataFrame:
     shared = _compare_kinds(kinds.where("NOT many").drop("many"), wide).unionByName(_group_kinds(kinds.where("many").drop("many"), wide))
     shared = staged(shared, "shared-by-kinds")
     found = rows.select("doc_id", "body", "pos", "start", "around").join(shared.hint("merge"), ["start", "around"])
-    spans = [(F.col("pos") - F.col("most")).alias("start_word"), (F.col("pos") - F.col("least") + size).alias("end_word")]
-    return found.select("doc_id", "body", *spans, "first_id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield _hits(pdf, pdf["least"].to_numpy(), pdf["most"].to_numpy(), pdf["first_id"], size)
+
+    return found.select("doc_id", "body", "pos", "least", "most", "first_id").mapInPandas(run, HITS)
 
 
 def repeated_passages(docs: DataFrame, window: int = 25, gram: int = 26) -> DataFrame:

@@ -112,3 +112,19 @@ def test_copies_in_a_large_class_are_one_kind(spark, documents, monkeypatch):
     assert out == {**{i: (0, 80, 0) for i in range(40)}, **{100 + i: (1, 61, 0) for i in range(3)}}
     assert made["passages"] == 0  # a row for each of 25 passages of each copy before
     assert 0 < made["kinds"] < made["contexts"] / 5
+
+
+def test_a_start_repeated_in_a_text_is_few_rows(spark, documents, monkeypatch):
+    made, staged = {}, suffixes.staged
+
+    def counted(df, name, *by):
+        out = staged(df, name, *by)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "staged", counted)
+    monkeypatch.setattr(suffixes, "CLASS_ROWS", 50)
+    line = "one line that is said again and again".split()
+    rows = [(i, " ".join(["same"] * 600 + [f"x{i}"] + line * 40 + [f"y{i}"] + ["same"] * 60)) for i in range(4)] + [(9, " ".join(["same"] * 300)), (None, " ".join(line * 10))]
+    assert got(documents(rows)) == brute(rows)
+    assert made["contexts"] < made["suffixes"] / 4  # a row for each place before
