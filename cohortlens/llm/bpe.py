@@ -36,6 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text whose distinct words are numbered together; bounds a task's memory.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are cut into words at once.
+PIECE_BYTES = 1 << 20
 #: Parts into which the words are hashed; a task holds the distinct words of one at a time.
 BUCKETS = 512
 #: Words whose ids a task remembers; beyond it forgets them all and encodes anew.
@@ -114,10 +116,12 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     starts = np.asarray(even.offsets).astype(np.int64)
     starts -= starts[0]
     flat = even.flatten()
+    del even  # each of these is as large as the texts and their words' offsets
     first = np.zeros(len(flat), bool)
     first[starts[:-1]] = True  # every text has a first part, if an empty one
     spaced = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), flat, pa.scalar(" ", pa.large_string()))
     words = pc.if_else(pa.array(first), flat, spaced)
+    del flat, spaced
     odd = np.flatnonzero(np.asarray(uneven))
     if len(odd) == 0:
         return words, starts
@@ -136,16 +140,24 @@ class _Block:
 
     def __init__(self, batches: list[pa.RecordBatch], text: str, place: tuple[int, int]):
         self.table = pa.Table.from_batches(batches)
-        flat, self.starts = words_of(self.table.column(text).combine_chunks())
-        coded = flat.dictionary_encode()
-        words = [w.encode() for w in coded.dictionary.to_pylist()]
-        buckets = [zlib.crc32(w) % BUCKETS for w in words]
-        order = sorted(range(len(words)), key=words.__getitem__)
-        order.sort(key=buckets.__getitem__)  # stable: by bucket, then by bytes
-        self.words, self.buckets = [words[i] for i in order], np.array([buckets[i] for i in order], np.int32)
+        texts, pieces, starts = self.table.column(text), [], [np.zeros(1, np.int64)]
+        step = max(1, len(texts) * PIECE_BYTES // max(1, texts.nbytes))
+        for at in range(0, len(texts), step):  # the words of a piece take several times its bytes
+            flat, cuts = words_of(texts.slice(at, step).combine_chunks())
+            pieces.append(flat.dictionary_encode())
+            starts.append(cuts[1:] + starts[-1][-1])
+        del flat
+        self.starts = np.concatenate(starts)
+        coded = pa.chunked_array(pieces).unify_dictionaries()
+        del pieces
+        words = coded.chunk(0).dictionary.cast(pa.large_binary())
+        buckets = np.fromiter((zlib.crc32(w.as_buffer()) % BUCKETS for w in words), np.int32, len(words))
+        order = np.asarray(pc.sort_indices(words)).astype(np.int64)
+        order = order[np.argsort(buckets[order], kind="stable")]  # by bucket, then by bytes
+        self.words, self.buckets = words.take(pa.array(order)).to_pylist(), buckets[order]
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        self.places = rank[np.asarray(coded.indices)] if words else np.zeros(0, np.uint32)
+        self.places = np.concatenate([np.zeros(0, np.uint32), *[rank[np.asarray(c.indices)] for c in coded.chunks if len(c)]])
         key = xxhash.xxh64(np.array(place, np.int64).tobytes())
         key.update(self.starts.tobytes())
         key.update(self.places.tobytes())
@@ -184,6 +196,7 @@ def split_words(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for block in _blocks(batches, text):
             buckets, packed = block.word_rows()
             columns = [pa.array([block.key] * len(packed), pa.int64()), pa.array(buckets, pa.int32()), pa.array(packed, pa.binary())]
+            del block, packed  # the next one is made before this name gets it
             yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "packed"])
 
     # the same columns as for the positions, so that both read the same plan
@@ -201,6 +214,7 @@ def split_positions(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             packed = block.position_rows()
             kept = [block.table.column(c).cast(arrow.field(f"k{i}").type).combine_chunks() for i, c in enumerate(keep)]
             columns = [pa.array([block.key] * len(packed), pa.int64()), pa.array(packed, pa.binary()), *kept]
+            del block, packed, kept
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.select(*{text: None, **dict.fromkeys(keep)}).mapInArrow(run, schema)

@@ -93,3 +93,20 @@ def test_equal_blocks_are_groups_of_their_own(ranks, spark):
     assert sum(sizes.values()) == 80 and max(sizes.values()) * len(text) < 2 * bpe.BLOCK_BYTES + len(text)
     assert sizes.keys() == {r.block for r in words.select("block").distinct().collect()}
     assert [tuple(r) for r in bpe.round_trip(df, ranks).distinct().collect()] == [(None, *want(ranks, text))]
+
+
+def test_a_block_is_cut_into_words_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 20_000)
+    texts = [f" word{i % 700} and\n  some more {i}" * 20 for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        block = bpe._Block([batch], "text", (0, 0))
+        most = pool.max_memory()
+    finally:
+        pa.set_memory_pool(usual)
+    assert most < 2 * batch.nbytes  # several times its bytes before
+    words = [w.decode() for w in block.words]
+    said = ["".join(words[p] for p in block.places[a:b]) for a, b in zip(block.starts[:-1], block.starts[1:])]
+    assert said == texts

@@ -83,3 +83,23 @@ def test_bounded_sample(labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels, max_train=100)
     assert docs.select(model.score(toxicity.featurizer).alias("s")).where(F.col("s").between(0, 1)).count() == 900
+
+
+def test_scores_do_not_hold_the_features_of_a_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cohortlens.llm.linear import HASH_BITS, HashedLinear
+
+    texts = pa.array([None, "", *["some words"] * 2000])
+    model = HashedLinear(np.ones(1 << HASH_BITS, np.float32), -2.0)
+    tracemalloc.start()
+    try:
+        out = model.scores(texts, lambda t: set(range(500)) if t else set())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2_000_000  # 8 MB before
+    assert out[0] == out[1] < 0.5 < out[2] == out[-1]
