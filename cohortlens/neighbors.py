@@ -16,12 +16,14 @@ number of cells where no cell can be left out.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES, MOST_BLOCKS, block_pairs, chunks, fits_broadcast, matrix
+from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES, CHUNK_CELLS, MOST_BLOCKS, block_pairs, chunks, fits_broadcast, matrix
 from cohortlens.runtime import cut, hash_first, shape, spread
 
 
@@ -97,6 +99,8 @@ def _result(qid, did, d, hit, names) -> pa.Table:
 
 OUT = ("qid", "slot", "id", "dist", "value", "rank")
 OUT_SCHEMA = "qid bigint, slot int, id bigint, dist double, value double, rank int"
+#: Kinds of gaps of queries that get cells of their own; the others share one set.
+GAP_KINDS = 8
 WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -145,7 +149,20 @@ def nearest(
         return queries.sparkSession.createDataFrame([], OUT_SCHEMA)
     if fits_broadcast(n_donors, width, broadcast_bytes):
         return _by_broadcast(queries, donors, k, width, per_gap, exclude_self)
-    return _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_rows, max_pivots)
+    how = (n_donors, k, width, per_gap, exclude_self, block_rows, max_pivots)
+    holes = F.transform("features", lambda v: v.isNull())
+    kinds = queries.groupBy(holes.alias("holes")).count().orderBy(F.desc("count"), "holes").limit(GAP_KINDS + 1).collect() if per_gap else []
+    if not kinds:
+        return _by_cells(queries, donors, *how)
+    # cells cut along a coordinate that a query lacks tell it nothing: common kinds of gaps have their own
+    found, rest = [], F.lit(True)
+    for kind in kinds[:GAP_KINDS]:
+        alike = holes == F.array(*[F.lit(h) for h in kind.holes])
+        found.append(_by_cells(queries.where(alike), donors, *how, known=~np.array(kind.holes)))
+        rest = rest & ~alike
+    if len(kinds) > GAP_KINDS:
+        found.append(_by_cells(queries.where(rest), donors, *how))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _by_broadcast(queries, donors, k, width, per_gap, exclude_self) -> DataFrame:
@@ -183,7 +200,7 @@ def box_bounds(q, lo, hi, never, always):
     for c in range(len(lo)):
         gap = np.maximum(np.maximum(lo[c] - q, q - hi[c]), 0.0) ** 2
         must = known & always[c]
-        if always[c].all():
+        if (always[c] | never[c]).all():
             n = must.sum(1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[:, c] = np.where(n > 0, np.where(must, gap, 0.0).sum(1) * width / n, np.inf)
@@ -197,7 +214,8 @@ def box_bounds(q, lo, hi, never, always):
     return out
 
 
-def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_rows, max_pivots) -> DataFrame:
+def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_rows, max_pivots, known=None) -> DataFrame:
+    """``known``: the coordinates along which cells are cut (all by default)."""
     spark = queries.sparkSession
     n_cells = int(min(max_pivots, -(-n_donors // block_rows)))
     pivot_rows = hash_first(donors, n_cells, 11, n_donors).toArrow()
@@ -206,7 +224,8 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
     fill = np.zeros(width)
     for row in means:
         fill[row.p] = 0.0 if row.m is None else row.m
-    pivots = np.where(np.isnan(pivots), fill, pivots)
+    known = np.ones(width, bool) if known is None else known
+    pivots = np.where(np.isnan(pivots), fill, pivots) * known
     # cells in the order of their widest direction, so that bundles are neighbours
     off = pivots - pivots.mean(0)
     pivots = pivots[np.argsort(off @ np.linalg.eigh(off.T @ off)[1][:, -1], kind="stable")]
@@ -215,7 +234,7 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
     @F.arrow_udf("int")
     def cell_of(v: pa.Array) -> pa.Array:
         x = matrix(v, width)
-        x = np.where(np.isnan(x), fill, x)
+        x = np.where(np.isnan(x), fill, x) * known
         near = [((x[s] ** 2).sum(1)[:, None] - 2 * x[s] @ pivots.T + (pivots**2).sum(1)).argmin(1) for s in chunks(len(x), len(pivots))]
         return pa.array(np.concatenate(near).astype(np.int32) if near else np.empty(0, np.int32))
 
@@ -242,7 +261,8 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
 
     def visits(first: bool):
         def run(batches):
-            for batch in batches:
+            most = max(len(c[0]) for c in shared.value.values())
+            for batch in (b.slice(s.start, s.stop - s.start) for b in batches for s in chunks(b.num_rows, most)):
                 x, g = matrix(batch.column("features"), width), batch.column("g").to_numpy()
                 ub = None if first else batch.column("ub").to_numpy(zero_copy_only=False)
                 for one in np.unique(g):
@@ -287,22 +307,30 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
             return _result(qid, did, d, top_k(q, qid, d, did, k, per_gap, exclude_self), OUT)
         by_cell, by_held = np.argsort(wanted, kind="stable"), np.argsort(held, kind="stable")
         wanted, row, held = wanted[by_cell], row[by_cell], held[by_held]
-        found = []
+        found, held_back, settled = [], 0, 0
+
+        def best_of(hits):
+            qi, slot, di, dist, _ = (np.concatenate(c) for c in zip(*hits))
+            order = np.lexsort((did[di], dist, slot, qi))
+            qi, slot, di, dist = qi[order], slot[order], di[order], dist[order]
+            start = np.flatnonzero(np.r_[True, (np.diff(qi) != 0) | (np.diff(slot) != 0)]) if len(qi) else np.empty(0, int)
+            rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
+            keep = rank < k
+            return qi[keep], slot[keep], di[keep], dist[keep], rank[keep] + 1
+
         for cell in here:
             rows = row[np.searchsorted(wanted, cell) : np.searchsorted(wanted, cell, "right")]
             cols = by_held[np.searchsorted(held, cell) : np.searchsorted(held, cell, "right")]
             if len(rows):
                 qi, slot, di, dist, rank = top_k(q[rows], qid[rows], d[cols], did[cols], k, per_gap, exclude_self)
                 found.append((rows[qi], slot, cols[di], dist, rank))
+                held_back += len(qi)
+            if held_back > CHUNK_CELLS + 2 * settled:  # hits of many cells: only the best go on
+                found = [best_of(found)]
+                held_back = settled = len(found[0][0])
         if not found:
             return _result(qid, did, d, top_k(q[:0], qid[:0], d, did, k, per_gap, exclude_self), OUT)
-        qi, slot, di, dist, _ = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((did[di], dist, slot, qi))
-        qi, slot, di, dist = qi[order], slot[order], di[order], dist[order]
-        start = np.flatnonzero(np.r_[True, (np.diff(qi) != 0) | (np.diff(slot) != 0)]) if len(qi) else np.empty(0, int)
-        rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
-        keep = rank < k
-        return _result(qid, did, d, (qi[keep], slot[keep], di[keep], dist[keep], rank[keep] + 1), OUT)
+        return _result(qid, did, d, best_of(found), OUT)
 
     visit_schema = "id bigint, features array<double>, g int, bundle int, cells array<int>"
     best = Window.partitionBy("qid", "slot").orderBy("dist", "id")

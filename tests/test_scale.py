@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cohortlens import validate
+from cohortlens import neighbors, validate
 from cohortlens.blocks import MOST_BLOCKS, block_pairs, n_blocks, packed
 from cohortlens.clustering import density, merging, mixture, partition
 from cohortlens.neighbors import nearest
@@ -99,3 +99,33 @@ def test_passes_over_packed_vectors_give_the_same_sums(spark):
         assert np.array_equal(one.round(9), two.round(9))
     model = mixture._start(x[:2], x.var(0), "full")
     assert np.array_equal(mixture.e_pass(df, [model])[0].round(9), mixture.e_pass(blocks, [model])[0].round(9))
+
+
+def test_queries_with_a_gap_have_cells_of_what_they_know(spark, monkeypatch):
+    """A coordinate that a query lacks, however wide, does not decide which donors share a cell."""
+    visited, pairs = [], neighbors.block_pairs
+
+    def counted(left, right, *how):
+        visited.append(left.agg(F.sum(F.size("cells"))).first()[0] or 0)
+        return pairs(left, right, *how)
+
+    monkeypatch.setattr(neighbors, "block_pairs", counted)
+    rng = np.random.default_rng(8)
+    x = rng.random((3000, 3)) * [1e6, 1e3, 1.0]
+    rows = [(i, [None if i % 10 == 0 else a, None if i % 50 == 1 else b, c]) for i, (a, b, c) in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "id bigint, features array<double>")
+    asked = df.where("id % 10 = 0 or id % 50 = 1")
+    want = nearest(asked, df, 3, per_gap=True).orderBy("qid", "slot", "rank").collect()
+    got = nearest(asked, df, 3, per_gap=True, broadcast_bytes=0, block_rows=30).orderBy("qid", "slot", "rank").collect()
+    assert got == want and len(got) == 3 * 360
+    assert sum(visited) < 0.25 * 360 * 100  # nearly all of the 100 cells for each of 300 queries before
+
+
+def test_more_kinds_of_gaps_than_have_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "GAP_KINDS", 1)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 4))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id bigint, features array<double>")
+    near, far = (sorted(map(tuple, nearest(df, df, 2, per_gap=True, **how).collect())) for how in ({}, {"broadcast_bytes": 0, "block_rows": 20}))
+    assert near == far and near
