@@ -101,21 +101,23 @@ def block_pairs(
     schema: str,
     block_rows: int = BLOCK_ROWS,
     width: int = 64,
+    right_rows: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(left block, right block)`` for every pair of blocks of the same group.
 
     Both sides carry ``id`` and the group columns; a row holds about ``width`` numbers. A row is
-    copied once per opposite block of its own group only.
+    copied once per opposite block of its own group only. ``right_rows``: rows of a right block,
+    where they are not ``block_rows``.
     """
     group = list(group)
 
-    def sizes(df: DataFrame, name: str) -> DataFrame:
+    def sizes(df: DataFrame, name: str, least: int) -> DataFrame:
         rows, fit = F.count("*"), fitting_rows(block_rows, width)
-        return df.groupBy(*group).agg(F.least(F.ceil(rows / block_rows), F.greatest(F.lit(MOST_BLOCKS), F.ceil(rows / fit))).alias(name))
+        return df.groupBy(*group).agg(F.least(F.ceil(rows / least), F.greatest(F.lit(MOST_BLOCKS), F.ceil(rows / fit))).alias(name))
 
     # fresh column identities: both sides may come from the same table
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    blocks = small(sizes(left, "nl").join(sizes(right, "nr"), group), len(group))
+    blocks = small(sizes(left, "nl", block_rows).join(sizes(right, "nr", right_rows or block_rows), group), len(group))
 
     def split(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         hashed = F.pmod(F.xxhash64("id", F.lit(7)), F.col(own_n)).cast("int")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES, CHUNK_CELLS, MOST_BLOCKS, block_pairs, chunks, fits_broadcast, matrix
+from cohortlens.blocks import BLOCK_ROWS, BROADCAST_BYTES, CHUNK_CELLS, MOST_BLOCKS, block_pairs, chunks, fits_broadcast, fitting_rows, matrix
 from cohortlens.runtime import cut, hash_first, shape, spread
 
 
@@ -52,10 +52,62 @@ def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(np.sqrt(np.nansum(diff2, axis=1) * a.shape[1] / present), 9)
 
 
-def top_k(q, qid, d, did, k, per_gap, exclude_self):
-    """``(query row, slot, donor row, distance, rank)`` of the k best donors of each slot."""
+#: Donors that are screened at once, and the most pairs that may pass of one screen.
+TILE = 4096
+MOST_PASSING = 1 << 17
+
+
+def screen_of(d):
+    """For donors ``d`` a function from queries, and the most distance for each, to ``(query rows, donor
+    rows)`` that hold every pair no farther than that.
+
+    Squares are worked out in single precision, and the limit is widened by its largest rounding
+    error. None where that would pass too many pairs, or the numbers are out of its range.
+    """
+    middle = d.mean(0)
+    off = d - middle
+    dd = (off * off).sum(1)
+    far, width = dd.max(), d.shape[1]
+    right = np.column_stack([off, dd]).astype(np.float32)
+
+    def screen(q, most):
+        q = q - middle
+        qq = (q * q).sum(1)
+        if not (far > 1e-25 and qq.max() + far < 1e30):
+            return None
+        limit = (most + 2e-9) ** 2 + (4 * width + 32) * 2.0**-24 * (qq + far)
+        # |q - d|^2 <= limit where 2qd - dd >= qq - limit
+        left = np.column_stack([2.0 * q, np.full(len(q), -1.0)]).astype(np.float32)
+        floor = (qq - limit).astype(np.float32)[:, None]
+        found = [(np.empty(0, int), np.empty(0, int))]
+        for at in range(0, len(right), TILE):
+            tile = right[at : at + TILE]
+            hits = np.flatnonzero(left @ tile.T >= floor)
+            if len(hits) > MOST_PASSING:
+                return None
+            row, col = np.divmod(hits, len(tile))
+            found.append((row, col + at))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    return screen
+
+
+def top_k(q, qid, d, did, k, per_gap, exclude_self, most=None):
+    """``(query row, slot, donor row, distance, rank)`` of the k best donors of each slot.
+
+    ``most``: for each query a distance beyond which no donor is asked for."""
     found = []
-    for part in chunks(len(q), len(d)):
+
+    def keep_best(qi, slot, di):
+        dist = exact_distance(q[qi], d[di])
+        order = np.lexsort((did[di], dist, qi))
+        qi, di, dist = qi[order], di[order], dist[order]
+        start = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
+        rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
+        keep = rank < k
+        found.append((qi[keep], np.full(keep.sum(), slot), di[keep], dist[keep], rank[keep] + 1))
+
+    def all_pairs(part):
         d2, slack = gap_squared_distances(q[part], d)
         if exclude_self:
             d2[qid[part][:, None] == did[None, :]] = np.inf
@@ -78,13 +130,22 @@ def top_k(q, qid, d, did, k, per_gap, exclude_self):
             if not len(qi):
                 continue
             qi, di = rows[qi] + part.start, cols[di]
-            dist = exact_distance(q[qi], d[di])
-            order = np.lexsort((did[di], dist, qi))
-            qi, di, dist = qi[order], di[order], dist[order]
-            start = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
-            rank = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
-            keep = rank < k
-            found.append((qi[keep], np.full(keep.sum(), slot), di[keep], dist[keep], rank[keep] + 1))
+            keep_best(qi, slot, di)
+
+    whole = most is not None and not per_gap and len(q) and len(d) and not np.isnan(q).any() and not np.isnan(d).any()
+    screen = screen_of(d) if whole else None
+    for part in chunks(len(q), min(len(d), TILE)) if whole else [slice(0, len(q))]:
+        close = screen(q[part], most[part]) if whole and np.isfinite(most[part]).all() else None
+        if close is None:
+            for s in chunks(part.stop - part.start, len(d)):
+                all_pairs(slice(part.start + s.start, part.start + s.stop))
+            continue
+        qi, di = close[0] + part.start, close[1]
+        if exclude_self:
+            other = qid[qi] != did[di]
+            qi, di = qi[other], di[other]
+        if len(qi):
+            keep_best(qi, -1, di)
     if not found:
         return tuple(np.empty(0, t) for t in (int, int, int, float, int))
     return tuple(np.concatenate(c) for c in zip(*found))
@@ -289,22 +350,23 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
                     src = batch.take(pa.array(rows[r[heads]]))
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(r)].astype(np.int32)), pa.array(ids[c].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
-                        [src.column("id"), src.column("features"), src.column("g"), pa.array(b[heads].astype(np.int32)), lists],
-                        names=["id", "features", "g", "bundle", "cells"],
+                        [src.column("id"), src.column("features"), src.column("g"), pa.array(b[heads].astype(np.int32)), lists,
+                         pa.array(np.full(len(heads), np.inf) if first else ub[rows[r[heads]]])],
+                        names=["id", "features", "g", "bundle", "cells", "ub"],
                     )
 
         return run
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         q, d = matrix(left["features"], width), matrix(right["features"], width)
-        qid, did = left["id"].to_numpy(), right["id"].to_numpy()
+        qid, did, most = left["id"].to_numpy(), right["id"].to_numpy(), left["ub"].to_numpy()
         asked, held = left["cells"].combine_chunks(), right["cell"].to_numpy()
         wanted, row = asked.flatten().to_numpy(), np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy())
         here = np.unique(held)
         there = np.isin(wanted, here)
         wanted, row = wanted[there], row[there]
         if len(wanted) == len(q) * len(here):  # everyone asks for every cell
-            return _result(qid, did, d, top_k(q, qid, d, did, k, per_gap, exclude_self), OUT)
+            return _result(qid, did, d, top_k(q, qid, d, did, k, per_gap, exclude_self, most), OUT)
         by_cell, by_held = np.argsort(wanted, kind="stable"), np.argsort(held, kind="stable")
         wanted, row, held = wanted[by_cell], row[by_cell], held[by_held]
         found, held_back, settled = [], 0, 0
@@ -322,7 +384,7 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
             rows = row[np.searchsorted(wanted, cell) : np.searchsorted(wanted, cell, "right")]
             cols = by_held[np.searchsorted(held, cell) : np.searchsorted(held, cell, "right")]
             if len(rows):
-                qi, slot, di, dist, rank = top_k(q[rows], qid[rows], d[cols], did[cols], k, per_gap, exclude_self)
+                qi, slot, di, dist, rank = top_k(q[rows], qid[rows], d[cols], did[cols], k, per_gap, exclude_self, most[rows])
                 found.append((rows[qi], slot, cols[di], dist, rank))
                 held_back += len(qi)
             if held_back > CHUNK_CELLS + 2 * settled:  # hits of many cells: only the best go on
@@ -332,14 +394,15 @@ def _by_cells(queries, donors, n_donors, k, width, per_gap, exclude_self, block_
             return _result(qid, did, d, top_k(q[:0], qid[:0], d, did, k, per_gap, exclude_self), OUT)
         return _result(qid, did, d, best_of(found), OUT)
 
-    visit_schema = "id bigint, features array<double>, g int, bundle int, cells array<int>"
+    visit_schema = "id bigint, features array<double>, g int, bundle int, cells array<int>, ub double"
     best = Window.partitionBy("qid", "slot").orderBy("dist", "id")
 
     def merged(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def search(visited: DataFrame) -> DataFrame:
-        return block_pairs(cut(visited), donors, ["g", "bundle"], kernel, OUT_SCHEMA, block_rows, width)
+        # a bundle's donors stay together while they fit a block: a query is copied once per bundle
+        return block_pairs(cut(visited), donors, ["g", "bundle"], kernel, OUT_SCHEMA, block_rows, width, fitting_rows(block_rows, width))
 
     early = cut(merged(search(spread(queries).mapInArrow(visits(True), visit_schema))))
     per_slot = early.groupBy("qid", "slot").agg(F.max("dist").alias("far"), F.count("*").alias("c"))

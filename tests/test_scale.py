@@ -129,3 +129,38 @@ def test_more_kinds_of_gaps_than_have_cells(spark, monkeypatch):
     df = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id bigint, features array<double>")
     near, far = (sorted(map(tuple, nearest(df, df, 2, per_gap=True, **how).collect())) for how in ({}, {"broadcast_bytes": 0, "block_rows": 20}))
     assert near == far and near
+
+
+def test_a_query_is_copied_once_per_bundle(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = frame(spark, rng.normal(size=(600, 6)))
+    copies = []
+
+    def counted(left, right, group, kernel, schema, *how):
+        def count(a: pa.Table, b: pa.Table) -> pa.Table:
+            return pa.table({"l": [a.num_rows]})
+
+        copies.append((left.count(), sum(r.l for r in block_pairs(left, right, group, count, "l bigint", *how).collect())))
+        return block_pairs(left, right, group, kernel, schema, *how)
+
+    monkeypatch.setattr(neighbors, "block_pairs", counted)
+    far = nearest(df, df, 3, exclude_self=True, broadcast_bytes=0, block_rows=8).collect()
+    assert len(copies) == 2 and all(came == sent for sent, came in copies)  # 5 blocks of donors a bundle before
+    near = nearest(df, df, 3, exclude_self=True).collect()
+    assert {(r.qid, r.id, r.rank, r.dist) for r in far} == {(r.qid, r.id, r.rank, r.dist) for r in near}
+
+
+def test_screened_neighbours_are_the_nearest(monkeypatch):
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(300, 8)), rng.normal(size=(300, 8)) * 1e-3 + 1e6, rng.normal(size=(300, 8)) * 1e-20, np.repeat(rng.normal(size=(30, 8)), 10, axis=0)):
+        ids = rng.permutation(300)
+        plain = neighbors.top_k(x, ids, x, ids, 4, False, True)
+        most = np.zeros(300)
+        np.maximum.at(most, plain[0], plain[3])
+        for got in (neighbors.top_k(x, ids, x, ids, 4, False, True, most), neighbors.top_k(x, ids, x, ids, 4, False, True, most * 1.5)):
+            order, want = np.lexsort((got[4], got[0])), np.lexsort((plain[4], plain[0]))
+            assert all((g[order] == p[want]).all() for g, p in zip(got, plain))
+    x = rng.normal(size=(300, 8))
+    row, col = neighbors.screen_of(x)(x[:5], np.full(5, 2.0))
+    near = np.sqrt(((x[:5, None] - x[None]) ** 2).sum(2)) <= 2.0
+    assert set(zip(*np.nonzero(near))) <= set(zip(row, col)) and len(row) < 10 * near.sum()
