@@ -78,11 +78,16 @@ class HashedLinear:
 
 
 def _pass(rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
-    """Loss and gradient at ``point`` (weights, then the bias), summed over all rows."""
+    """Loss and gradient at ``point`` (weights, then the bias), summed over all rows.
+
+    The point goes out as a broadcast that is given up right after the pass: inside the function
+    each pass would leave one on the driver until its garbage is collected. Which slopes are sent
+    back is a bit each."""
     size = len(point)
+    shared = rows.sparkSession.sparkContext.broadcast(point)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loss, grad = 0.0, np.zeros(size)
+        loss, grad, point = 0.0, np.zeros(size), shared.value
         for pdf in frames:
             if not len(pdf):
                 continue
@@ -100,13 +105,16 @@ def _pass(rows: DataFrame, point: np.ndarray) -> tuple[float, np.ndarray]:
             slope = w * np.where(example, p - yy, 2 * raw)
             grad += np.bincount(ids, sign * slope[row], minlength=size)
             grad[-1] += slope[example].sum()
-        at = np.flatnonzero(grad)
-        yield pd.DataFrame({"loss": [loss], "at": [at.astype("<i4").tobytes()], "grad": [grad[at].astype("<f4").tobytes()]})
+        at = grad != 0
+        yield pd.DataFrame({"loss": [loss], "at": [np.packbits(at).tobytes()], "grad": [grad[at].astype("<f4").tobytes()]})
 
     total, grad = 0.0, np.zeros(size)
-    for part in rows.mapInPandas(run, "loss double, at binary, grad binary").collect():
-        total += part.loss
-        grad[np.frombuffer(part.at, "<i4")] += np.frombuffer(part.grad, "<f4")
+    try:
+        for part in rows.mapInPandas(run, "loss double, at binary, grad binary").collect():
+            total += part.loss
+            grad[np.unpackbits(np.frombuffer(part.at, np.uint8), count=size).view(bool)] += np.frombuffer(part.grad, "<f4")
+    finally:
+        shared.destroy()
     return total, grad
 
 

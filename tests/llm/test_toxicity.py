@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def test_scores_do_not_hold_the_features_of_a_batch():
         tracemalloc.stop()
     assert most < 2_000_000  # 8 MB before
     assert out[0] == out[1] < 0.5 < out[2] == out[-1]
+
+
+def test_a_pass_gives_its_broadcast_up(labelled, spark, monkeypatch):
+    from cohortlens.llm import linear
+
+    docs, labels = labelled
+    made, ended = [], []
+    plain = type(spark.sparkContext).broadcast
+
+    def broadcast(sc, value):
+        one = plain(sc, value)
+        if isinstance(value, np.ndarray):  # a point, not a function too long for a task
+            made.append(one)
+            end = one.destroy
+            one.destroy = lambda *how: (ended.append(one), end(*how))
+        return one
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    rows = toxicity.training_rows(labels.join(docs, "doc_id").select("text", F.col("toxic").cast("double").alias("y")).limit(50), 0.0)
+    point = np.zeros((1 << linear.HASH_BITS) + 1)
+    loss, grad = linear._pass(rows, point)
+    assert len(made) == 1 and made == ended  # before, the point went along in the function and stayed
+    assert loss > 0 and np.count_nonzero(grad) > 50
